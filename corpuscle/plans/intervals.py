@@ -27,11 +27,11 @@ def _day(column: str) -> str:
 
 _PERIODS = f"""
 WITH days AS (SELECT rule_no, status, {_day('effective_from')} AS a, {_day('effective_to')} AS b FROM chunks WHERE rule_no IS NOT NULL),
-spans AS (SELECT rule_no, a AS f, coalesce(b, DATE '9999-12-31') AS t FROM days
-          WHERE a IS NOT NULL AND (b IS NOT NULL OR status IS DISTINCT FROM 'superseded') AND coalesce(b, DATE '9999-12-31') >= a),
+spans AS (SELECT rule_no, a AS f, coalesce(b, DATE '9999-12-31') AS t, count(*) AS c FROM days
+          WHERE a IS NOT NULL AND (b IS NOT NULL OR status IS DISTINCT FROM 'superseded') AND coalesce(b, DATE '9999-12-31') >= a GROUP BY ALL),
 seen AS (SELECT *, max(t) OVER (PARTITION BY rule_no ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
 runs AS (SELECT *, sum(CASE WHEN before IS NULL OR f > before + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rule_no ORDER BY f, t ROWS UNBOUNDED PRECEDING) AS run FROM seen),
-periods AS (SELECT rule_no, run, min(f) AS f, max(t) AS t, count(*) AS n FROM runs GROUP BY rule_no, run),
+periods AS (SELECT rule_no, run, min(f) AS f, max(t) AS t, sum(c) AS n FROM runs GROUP BY rule_no, run),
 gaps AS (SELECT p.rule_no, p.t + 1 AS f, lead(p.f) OVER (PARTITION BY p.rule_no ORDER BY p.f) - 1 AS t FROM periods AS p),
 every AS (SELECT rule_no, 'period' AS kind, f, t, n FROM periods UNION ALL SELECT rule_no, 'gap', f, t, 0 FROM gaps WHERE t IS NOT NULL)
 """
