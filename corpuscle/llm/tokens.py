@@ -28,9 +28,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 5_000_000
 
-_SPLIT = "block long, doc long, codes array<int>, code int, word string"
+_SPLIT = "block long, doc long, codes binary, code int, word string"
 
 
 @lru_cache(maxsize=2)
@@ -53,28 +53,31 @@ class _Numbers(dict):
         return number
 
 
+def _pack(numbers: list[int]) -> bytes:
+    """Numbers as bytes: first the lower halves of all, then the upper halves, most of them zero."""
+    return np.asarray(numbers, "<u4").view("<u2").reshape(-1, 2).T.tobytes()
+
+
 def _split_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import regex
     from pyspark import TaskContext
 
     find = regex.compile(PATTERN).findall
     block = TaskContext.get().partitionId() << 32
-    schema = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("codes", pa.list_(pa.int32())), ("code", pa.int32()), ("word", pa.string())])
+    schema = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("word", pa.string())])
     numbers, docs, codes, chars = _Numbers(), [], [], 0
 
     def emit() -> Iterator[pa.RecordBatch]:
-        offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
-        flat = np.concatenate([np.asarray(c, np.int32) for c in codes]) if codes else np.empty(0, np.int32)
         n = len(docs)
-        yield pa.record_batch([pa.array(np.full(n, block)), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
+        yield pa.record_batch([pa.array(np.full(n, block)), pa.array(docs, pa.int64()), pa.array(codes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], schema=schema)
         m = len(numbers)
-        yield pa.record_batch([pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int32())), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(numbers), pa.string())], schema=schema)
+        yield pa.record_batch([pa.array(np.full(m, block)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(numbers), pa.string())], schema=schema)
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             docs.append(doc)
-            codes.append(list(map(numbers.__getitem__, find(text))))
+            codes.append(_pack(list(map(numbers.__getitem__, find(text)))))
             chars += len(text)
             if chars >= BLOCK_CHARS:
                 yield from emit()
@@ -90,41 +93,60 @@ def split_words(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) of distinct words, each encoded once."""
+    """(word, ids) of distinct words, each encoded once; ids are packed as 16 or 32 bits each."""
+    width = id_width(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary)
         for batch in batches:
-            found = [encoding.encode_ordinary(word) for word in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["word", "ids"])
+            found = [np.asarray(encoding.encode_ordinary(word), width).tobytes() for word in batch.column(0).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["word", "ids"])
+
+    return words.select("word").distinct().mapInArrow(encode, "word string, ids binary")
+
 
-    return words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+def id_width(vocabulary: str) -> str:
+    """The integer type that holds every id of a vocabulary."""
+    return "<u2" if max(_ranks(vocabulary).values()) < 1 << 16 else "<u4"
 
 
-def _flat(column: pa.ChunkedArray, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and values of a list column."""
-    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(kind))
-    offsets = lists.offsets.to_numpy()
-    return offsets - offsets[0] if len(offsets) else np.zeros(1, np.int32), lists.flatten().to_numpy(zero_copy_only=False)
+def _flat(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (in items) and items of a column of packed integers."""
+    values = column.to_pylist()
+    size = np.dtype(kind).itemsize
+    return np.concatenate([[0], np.cumsum([len(v) // size for v in values])]).astype(np.int64), np.frombuffer(b"".join(values), kind)
 
 
-def _reassemble(words: pa.Table, docs: pa.Table) -> pa.Table:
+def _codes(docs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the documents and their word numbers, one after another."""
+    bounds, halves = _flat(docs.column("codes"), "<u2")
+    bounds = bounds // 2
+    size = np.diff(bounds)
+    low = np.arange(bounds[-1]) + np.repeat(bounds[:-1], size)
+    return bounds, halves[low].astype(np.int64) | (halves[low + np.repeat(size, size)].astype(np.int64) << 16)
+
+
+def _reassemble(width: str):
     """Ids of the documents of one block, from the ids of its words and the documents' positions."""
-    order = np.argsort(words.column("code").to_numpy())
-    starts, ids = _flat(words.column("ids"), pa.int32())
-    lengths, starts = np.diff(starts)[order], starts[:-1][order]
-    bounds, codes = _flat(docs.column("codes"), pa.int32())
-    size = lengths[codes]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    take = np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])
-    lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids[take].astype(np.int32)))
-    return pa.table({"doc": docs.column("doc").combine_chunks(), "ids": lists})
+
+    def reassemble(words: pa.Table, docs: pa.Table) -> pa.Table:
+        order = np.argsort(words.column("code").to_numpy())
+        starts, ids = _flat(words.column("ids"), width)
+        lengths, starts = np.diff(starts)[order], starts[:-1][order]
+        bounds, codes = _codes(docs)
+        size = lengths[codes]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        take = np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])
+        lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids[take].astype(np.int32)))
+        return pa.table({"doc": docs.column("doc").combine_chunks(), "ids": lists})
+
+    return reassemble
 
 
 def _count(words: pa.Table, docs: pa.Table) -> pa.Table:
     lengths = np.zeros(words.num_rows, np.int64)
     lengths[words.column("code").to_numpy()] = words.column("n").to_numpy()
-    bounds, codes = _flat(docs.column("codes"), pa.int32())
+    bounds, codes = _codes(docs)
     ends = np.concatenate([[0], np.cumsum(lengths[codes])])
     return pa.table({"doc": docs.column("doc").combine_chunks(), "n_tokens": np.diff(ends[bounds])})
 
@@ -140,7 +162,7 @@ def encode_corpus(df: DataFrame, doc: str, text: str, tokenizers: str = TOKENIZE
     encoded = encode_words(words, f"{tokenizers}/{vocabulary}")
     back = words.join(encoded, "word").select(F.col("block").alias("at"), "code", "ids")
     docs = split.select("block", "doc", "codes").where("codes IS NOT NULL")
-    found = back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_reassemble, "doc long, ids array<int>")
+    found = back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_reassemble(id_width(f"{tokenizers}/{vocabulary}")), "doc long, ids array<int>")
     return found.withColumnRenamed("doc", doc)
 
 
@@ -148,7 +170,7 @@ def token_counts(df: DataFrame, doc: str, text: str, tokenizers: str = TOKENIZER
     """(doc, n_tokens) by the same way; only the number of a word's ids travels back."""
     split = split_words(df, doc, text)
     words = split.select("block", "code", "word").where("word IS NOT NULL")
-    encoded = encode_words(words, f"{tokenizers}/{vocabulary}").select("word", F.size("ids").alias("n"))
+    encoded = encode_words(words, f"{tokenizers}/{vocabulary}").select("word", F.expr(f"length(ids) div {np.dtype(id_width(f'{tokenizers}/{vocabulary}')).itemsize}").alias("n"))
     back = words.join(encoded, "word").select(F.col("block").alias("at"), "code", "n")
     docs = split.select("block", "doc", "codes").where("codes IS NOT NULL")
     return back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_count, "doc long, n_tokens long").withColumnRenamed("doc", doc)
