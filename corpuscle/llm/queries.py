@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.llm import format_copies, tokens
+from corpuscle.llm import format_copies, near_duplicates, tokens
 from corpuscle.sources.tables import table
 
 
@@ -18,12 +18,28 @@ def p2_records(spark: SparkSession, folder: str) -> DataFrame:
     return format_copies.collapsed_records(table(spark, folder, "chunks"), "chunk_row", "text")
 
 
+#: Pairs of rule texts count from this similarity on (the statement of the problem fixes it).
+RULE_SIMILARITY = 0.6
+
+
+def _rule_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.rule_texts(table(spark, folder, "chunks"), table(spark, folder, "kb_docs"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_rule_texts(spark, folder), RULE_SIMILARITY)
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates.similar_groups(_rule_texts(spark, folder), RULE_SIMILARITY)
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_records": p2_records, "p6_ids": p6_ids}
+    return {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
