@@ -5,11 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscle.llm import format_copies, near_duplicates, tokens
+from corpuscle.llm import format_copies, near_duplicates, similar_vectors, tokens
 from corpuscle.sources.tables import table
 
 
+#: Length of the vectors of chunks, and how many most similar ones each has.
+VECTOR_WIDTH, NEIGHBOURS = 64, 5
+
+
+def _chunk_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.nearest_vectors(table(spark, folder, "chunks"), "chunk_row", "dense", VECTOR_WIDTH, NEIGHBOURS)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.similar_pairs(_chunk_neighbours(spark, folder))
+
+
+def p1_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _chunk_neighbours(spark, folder).select(F.col("row").alias("chunk_row"), F.col("near").alias("near_row"), F.round("cosine", 9).alias("cosine"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return format_copies.format_copies(table(spark, folder, "chunks"), "chunk_row", "text")
 
@@ -39,7 +56,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
