@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import format_copies, near_duplicates, similar_vectors, tokens
+from corpuscle.llm import format_copies, near_duplicates, personal, similar_vectors, tokens
 from corpuscle.sources.tables import table
 
 
@@ -55,8 +55,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.personal_items(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
+
+
+def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.redacted_texts(table(spark, folder, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
