@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import format_copies, near_duplicates, personal, similar_vectors, tokens
+from corpuscle.llm import format_copies, near_duplicates, personal, pieces, similar_vectors, tokens
 from corpuscle.sources.tables import table
 
 
@@ -51,6 +51,14 @@ def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.similar_groups(_rule_texts(spark, folder), RULE_SIMILARITY)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.oversized_stretches(pieces.split_texts(table(spark, folder, "kb_docs"), "doc_row", "text", with_text=False), "doc_row")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.split_texts(table(spark, folder, "kb_docs"), "doc_row", "text")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -64,7 +72,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
