@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscle.llm import format_copies, near_duplicates, personal, pieces, similar_vectors, tokens
+from corpuscle.llm import format_copies, mixture, near_duplicates, personal, pieces, similar_vectors, tokens
 from corpuscle.sources.tables import table
 
 
@@ -63,6 +63,20 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    sized = tokens.token_counts(documents, "doc_id", "text").join(documents.select("doc_id", "source"), "doc_id")
+    return mixture.mixture(sized, targets), targets
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.shares(*_mixed(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_items(table(spark, folder, "documents"), "doc_id", "text").select("doc_id", "kind", "start_pos")
 
@@ -72,7 +86,7 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
