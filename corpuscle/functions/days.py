@@ -14,7 +14,7 @@ _DIGITS = "012345678900123456789"
 
 _SEPARATED = r"^([0-9]{4})\s*[-/.年－／．]\s*([0-9十]{1,3})\s*[-/.月－／．]\s*([0-9十]{1,3})\s*[日号]?(?:[T\s].*)?$"
 _COMPACT = r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:[T\s].*)?$"
-_BLANK = r"^[\s　 ﻿]+|[\s　 ﻿]+$"
+_BLANK = r"^[\s\u3000\u00a0\ufeff]+|[\s\u3000\u00a0\ufeff]+$"
 
 
 def _number(part: Column) -> Column:

@@ -16,7 +16,7 @@ HEADING_CHARS = 60
 def normalize_text(text: Column) -> Column:
     """Line feeds only, plain blanks, no zero-width characters, no blanks at line ends, at most one empty line, trimmed."""
     lines = F.regexp_replace(text, "\r\n?", "\n")
-    plain = F.regexp_replace(F.translate(lines, "　 ", "  "), "[﻿​‌‍]", "")
+    plain = F.regexp_replace(F.translate(lines, "\u3000\u00a0", "  "), "[\ufeff\u200b\u200c\u200d]", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"[ \t]+(?=\n|$)", ""), "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

@@ -50,7 +50,7 @@ def document_state(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return each.where(F.col("in") > 0).select("doc_id", state.alias("state"))
 
 
-def hash_state(df: DataFrame, text: str = "text", stored: str = "content_hash") -> Column:
+def hash_state(text: str = "text", stored: str = "content_hash") -> Column:
     """ok, missing or stale: whether the stored hash is that of the text."""
     return F.when(F.col(stored).isNull(), "missing").when(F.col(stored).eqNullSafe(content_hash(F.col(text))), "ok").otherwise("stale")
 

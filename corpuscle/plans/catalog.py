@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.plans import intervals
+from corpuscle.plans import collection, intervals, retrieval
 
-MODULES = [intervals]
+MODULES = [intervals, collection, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
