@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Full-width forms and their ASCII forms, whitespace and zero-width characters.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 _ASCII = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
-BLANKS = r"\s\x1c-\x1f\x85\p{Z}​-‍﻿"
+BLANKS = r"\s\x1c-\x1f\x85\p{Z}\u200b-\u200d\ufeff"
 _MARKS = r"(?<![0-9])\p{P}|\p{P}(?![0-9])"
 _ITEM = r"^[^：:]{1,12}[：:][^：:]+$"
 
