@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,18 @@ def attach_facts(candidates: DataFrame, mentions: DataFrame, facts: DataFrame, m
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).withColumn("place", F.col("place").cast("long")).drop("score")
 
 
-def alike_names(entities: DataFrame) -> DataFrame:
-    """(a, b): entities linked by an equal normal name or alias; the first of each name with every other.
+def name_stem(name: Column) -> Column:
+    """Normal name in lower case without a serial code at its end."""
+    return F.regexp_replace(F.lower(normal_name(name)), "[a-z]{2}-[0-9]+$", "")
+
+
+def alike_names(entities: DataFrame, key: Callable[[Column], Column] = normal_name) -> DataFrame:
+    """(a, b): entities linked by an equal key of a name or alias; the first of each key with every other.
 
     A name that very many entities share makes a star of links, not all pairs.
     """
     spelled = entities.select("id", F.explode(F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("written"))
-    named = spelled.select("id", normal_name(F.col("written")).alias("plain")).where("plain <> ''").distinct()
+    named = spelled.select("id", key(F.col("written")).alias("plain")).where("plain <> ''").distinct()
     first = named.groupBy("plain").agg(F.min("id").alias("a"))
     return named.join(first, "plain").where("id <> a").select("a", F.col("id").alias("b")).distinct()
 

@@ -64,7 +64,11 @@ def first_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def extract_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in texts:
-        yield part.map(first_json, na_action="ignore")
+def extract_json(text: Column) -> Column:
+    """``first_json`` of a column, in Arrow batches."""
+
+    def parse(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            yield part.map(first_json, na_action="ignore")
+
+    return F.pandas_udf(parse, "string")(text)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.plans import collection, intervals, retrieval
+from corpuscle.plans import collection, graphs, intervals, logs, retrieval
 
-MODULES = [intervals, collection, retrieval]
+MODULES = [intervals, collection, retrieval, graphs, logs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -14,7 +14,7 @@ from corpuscle.operators import evaluate, fusion, search
 from corpuscle.sources.tables import table
 
 WIDTH, PATH_K, FUSED_K, FINAL_K = 64, 50, 20, 5
-ASKED = F.col("chunk_row") % 100 == 0
+ASKED = "chunk_row % 100 = 0"
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,7 +152,7 @@ def tie_bands(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def score_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    negatives = _chunks(spark, folder).where(ASKED & (F.col("chunk_row") % 300 == 0)).select(F.col("chunk_row").alias("query_id"))
+    negatives = _chunks(spark, folder).where("chunk_row % 300 = 0").select(F.col("chunk_row").alias("query_id"))
     return evaluate.score_negatives(_dense(spark, folder, 10), negatives, _gold(spark, folder), 0.95)
 
 
