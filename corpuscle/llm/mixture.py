@@ -27,6 +27,12 @@ def plain_source(source: Column) -> Column:
     return F.lower(F.regexp_replace(source, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
 
 
+def sized_sources(counts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(doc_id, source, n_tokens): rows of one doc_id count as one text, with their largest size and least source."""
+    sizes = counts.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens"))
+    return sizes.join(documents.groupBy("doc_id").agg(F.min("source").alias("source")), "doc_id")
+
+
 def pfair_slots(blocks: dict[str, int]) -> list[tuple[int, str, int]]:
     """(slot, source, block) for numbers of blocks by source; earliest deadline first among released blocks.
 

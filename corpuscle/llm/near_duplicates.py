@@ -158,16 +158,16 @@ def _traverse(tails: np.ndarray, roots: np.ndarray, budgets: np.ndarray) -> tupl
 
 
 def _join_tries(budgets: np.ndarray):
-    """Task function over rows (path, side, row, tail) sorted by path: pairs (a, b) of rows within the budget."""
+    """Task function over rows (path, side, kind, row, tail) sorted by path: pairs (kind, a, b) of rows within the budget."""
 
-    def pairs(path: np.ndarray, side: np.ndarray, row: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
+    def pairs(path: np.ndarray, side: np.ndarray, kind: np.ndarray, row: np.ndarray, tail: np.ndarray) -> pa.RecordBatch:
         runs = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1], [True]]))
         sizes = np.diff(runs)
         keep = np.repeat(sizes > 1, sizes)
-        path, side, row, tail = path[keep], side[keep], row[keep], tail[keep]
+        path, side, kind, row, tail = path[keep], side[keep], kind[keep], row[keep], tail[keep]
         words = tail.view(">u8").reshape(len(tail), BITS // 64)
         order = np.lexsort([words[:, k] for k in reversed(range(words.shape[1]))] + [side, path])
-        path, side, row, tail = path[order], side[order], row[order], np.ascontiguousarray(tail[order])
+        path, side, kind, row, tail = path[order], side[order], kind[order], row[order], np.ascontiguousarray(tail[order])
         nodes = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (side[1:] != side[:-1]), [True]]))
         lo, hi = nodes[:-1], nodes[1:]
         own = side[lo] == 0
@@ -175,16 +175,16 @@ def _join_tries(budgets: np.ndarray):
         roots = np.concatenate([np.column_stack([lo, hi, lo, hi])[own], np.column_stack([lo[cross], hi[cross], lo[cross + 1], hi[cross + 1]])])
         i, j = _traverse(tail, roots, budgets) if len(roots) else (np.empty(0, int), np.empty(0, int))
         a, b = row[i], row[j]
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        return pa.record_batch([pa.array(kind[i]), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["kind", "a", "b"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            path, side, row = (batch.column(k).to_numpy() for k in range(3))
-            tail = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            held.append((path, side, row, tail))
+            path, side, kind, row = (batch.column(k).to_numpy() for k in range(4))
+            tail = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            held.append((path, side, kind, row, tail))
             if path[-1] == path[0] or sum(len(h[0]) for h in held) < 200_000:
                 continue
             whole = [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -200,24 +200,21 @@ def _join_tries(budgets: np.ndarray):
 def trie_candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (level, a, b) of classes (level, row, hashes, tail) whose signatures meet in a trie."""
     paths = F.array(*(F.xxhash64("level", F.lit(t), F.expr(f"substring(hashes, {4 * PREFIX * t + 1}, {4 * PREFIX})")) for t in range(TRIES)))
-    placed = classes.select("level", "row", "tail", F.explode(paths).alias("path"))
+    kind = F.xxhash64("level")
+    placed = classes.select(kind.alias("kind"), "row", "tail", F.explode(paths).alias("path"))
     hot = sized_broadcast(placed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PATH_TEXTS))
-    join = _join_tries(bit_budgets(similarity))
-    single = placed.join(hot.select("path"), "path", "left_anti").select("level", "path", F.lit(0).cast("byte").alias("side"), "row", "tail")
+    single = placed.join(hot.select("path"), "path", "left_anti").select("path", F.lit(0).cast("byte").alias("side"), "kind", "row", "tail")
     # A hot path: block x block pairs; a row goes to the pairs of its block with every block.
     blocks = F.ceil(F.col("n") * 2 / PATH_TEXTS).cast("int")
     cut = placed.join(hot, "path").withColumns({"block": F.pmod(F.xxhash64("row"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
     crossed = cut.select(
-        "level", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "row", "tail",
+        F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("path"),
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).cast("byte").alias("side"), "kind", "row", "tail",
     )
-    work = single.unionByName(crossed)
-    found = None
-    for level in ("chunk", "document"):
-        own = work.where(F.col("level") == level).select("path", "side", "row", "tail")
-        part = own.repartition("path").sortWithinPartitions("path").mapInArrow(join, "a long, b long").distinct().select(F.lit(level).alias("level"), "a", "b")
-        found = part if found is None else found.unionByName(part)
-    return found
+    work = single.unionByName(crossed).repartition("path").sortWithinPartitions("path")
+    found = work.mapInArrow(_join_tries(bit_budgets(similarity)), "kind long, a long, b long").distinct()
+    levels = sized_broadcast(classes.select("level", kind.alias("kind")).distinct())
+    return found.join(levels, "kind").select("level", "a", "b")
 
 
 def _similar(similarity: float):

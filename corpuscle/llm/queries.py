@@ -65,7 +65,7 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
-    sized = tokens.token_counts(documents, "doc_id", "text").join(documents.select("doc_id", "source"), "doc_id")
+    sized = mixture.sized_sources(tokens.token_counts(documents, "doc_id", "text"), documents)
     return mixture.mixture(sized, targets), targets
 
 
