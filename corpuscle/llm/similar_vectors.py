@@ -207,7 +207,7 @@ def nearest_vectors(df: DataFrame, row: str, vector: str, width: int, k: int = 5
     null, of another length, all zero or not finite take no part; repeated vectors are rows of
     their own.  At most k + 1 rows of each group of identical vectors are indexed, its
     smallest: no other row of the group can be among anyone's k nearest, and the group's
-    other rows have these as their own nearest.  Where the table has k or fewer other rows, fewer come out.
+    other rows have the same nearest as the last one that is indexed.  Where the table has k or fewer other rows, fewer come out.
     """
     usable = usable_vectors(df, row, vector, width)
     marks = shared_table(usable.select("row", F.xxhash64("vector").alias("h"), F.xxhash64(F.lit(1), "vector").alias("check")))
@@ -215,7 +215,7 @@ def nearest_vectors(df: DataFrame, row: str, vector: str, width: int, k: int = 5
     groups = collapse_copies(marks).where(F.col("n_copies") > k + 1)
     copied = join_groups(marks, groups, total).select("row", "h", "check")
     order = Window.partitionBy("h", "check").orderBy("row")
-    kept = copied.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).drop("place")
+    kept = copied.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
     extra = shared_table(copied.join(kept.select("row"), "row", "left_anti"))
     has_extra = extra.limit(1).count() > 0
     indexed = usable.join(extra.select("row"), "row", "left_anti") if has_extra else usable
@@ -227,13 +227,14 @@ def nearest_vectors(df: DataFrame, row: str, vector: str, width: int, k: int = 5
     leaves = placed.select("row", "vector", F.explode("leaves").alias("leaf"))
     found = leaves.groupBy("leaf").applyInArrow(_search(forest, width, k), "row long, loss array<long>, near array<long>")
     merged = found.groupBy("row").agg(F.flatten(F.collect_list(F.arrays_zip("loss", "near"))).alias("all"))
-    best = merged.select("row", F.explode(F.slice(F.array_sort(F.array_distinct("all")), 1, k)).alias("hit"))
-    out = best.select("row", F.col("hit.near").alias("near"), (1 - F.col("hit.loss") / 1e9).alias("cosine"))
+    lists = merged.select("row", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("hits"))
     if has_extra:
-        first = kept.groupBy("h", "check").agg(F.slice(F.array_sort(F.collect_list("row")), 1, k).alias("firsts"), F.lit(k + 2).alias("n_copies"))
-        more = extra.join(first, ["h", "check"]).select("row", F.explode("firsts").alias("near"), F.lit(1.0).alias("cosine"))
-        out = out.unionByName(more)
-    return out
+        lists = shared_table(lists)
+        last = kept.where(F.col("place") == k + 1).select("row", "h", "check").join(lists, "row").join(groups.select("h", "check", "n_copies"), ["h", "check"])
+        more = join_groups(extra.select("row", "h", "check"), last.select("h", "check", "n_copies", "hits"), total)
+        lists = lists.unionByName(more.select("row", "hits"))
+    best = lists.select("row", F.explode("hits").alias("hit"))
+    return best.select("row", F.col("hit.near").alias("near"), (1 - F.col("hit.loss") / 1e9).alias("cosine"))
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
