@@ -37,7 +37,7 @@ def _decoded(content: Column) -> Column:
 def read_documents(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(doc_id, source, title, text, content_hash, char_count, ext, encoding, doc_version, effective_from, effective_to, error).
 
-    Files of supported suffixes under ``root``; hidden files and ``~$`` lock files are left out. A file that
+    Files of supported suffixes under ``root``; hidden files and ``~$`` lock files are left out, and so are files of no bytes. A file that
     holds no text has its reason in ``error`` and stays in the table, so that no file fails the others.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
