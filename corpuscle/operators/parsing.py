@@ -72,3 +72,17 @@ def extract_json(text: Column) -> Column:
             yield part.map(first_json, na_action="ignore")
 
     return F.pandas_udf(parse, "string")(text)
+
+
+def json_triples(df: DataFrame, row: str, text: str) -> DataFrame:
+    """(row, head, relation, tail) of the first JSON in a reply: lists of three, or objects with head, relation and tail.
+
+    The same cleaning as for ``triples``; anything else gives no rows.
+    """
+    found = df.select(F.col(row), extract_json(F.col(text)).alias("j"))
+    lists = F.filter(F.coalesce(F.from_json("j", "array<array<string>>"), F.array().cast("array<array<string>>")), lambda x: F.size(x) == 3)
+    named = F.coalesce(F.from_json("j", "array<struct<head: string, relation: string, tail: string>>"), F.array().cast("array<struct<head: string, relation: string, tail: string>>"))
+    as_struct = lambda h, r, t: F.struct(F.trim(h).alias("head"), F.trim(r).alias("relation"), F.trim(t).alias("tail"))
+    every = F.concat(F.transform(lists, lambda x: as_struct(x[0], x[1], x[2])), F.transform(named, lambda x: as_struct(x["head"], x["relation"], x["tail"])))
+    good = lambda c: F.coalesce((F.length(c) > 0) & (F.octet_length(c) <= MOST_BYTES), F.lit(False))
+    return found.select(row, F.inline(every)).where(good("head") & good("relation") & good("tail"))

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.status import visible
-from corpuscle.functions.vectors import dot, norm
 from corpuscle.operators import fusion, graph, search
 from corpuscle.plans import retrieval
 from corpuscle.sources.tables import table
@@ -54,12 +53,9 @@ def seed_labels(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").where(F.size("embedding") > 0)
     means = vectors.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("c"))
-    asked = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
-    # One row per label: the label set is fixed and small, and checked by the hint's own join.
-    scored = asked.join(F.broadcast(centres.limit(1000)), F.lit(True)).select(
-        "query_id", F.col("label").cast("long").alias("label"), F.round(dot(F.col("embedding"), F.col("c")) / norm(F.col("embedding")) / norm(F.col("c")), 9).alias("score")
-    )
-    return search.ranked(scored, 3, "label")
+    asked = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = search.dense_topk(asked, centres.select(F.col("label").alias("row"), F.col("c").alias("vector")), 3, retrieval.WIDTH)
+    return found.withColumnRenamed("row", "label")
 
 
 def expand_hops(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuscle.functions.models import embed, rerank_score
 from corpuscle.functions.status import visible
-from corpuscle.functions.text import citation, clip
+from corpuscle.functions.text import citation, clip, embed_text
+from corpuscle.functions.vectors import norm
 from corpuscle.operators import evaluate, fusion, search
 from corpuscle.sources.tables import table
 
@@ -96,6 +98,20 @@ def threshold_floor(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.threshold_floor(_rescored(spark, folder), 2.0, 2, FINAL_K)
 
 
+def rerank_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """Fused candidates re-scored by the default scorer on the texts, cut at a threshold with a floor of one."""
+    texts = _chunks(spark, folder).select(F.col("chunk_row").alias("row"), "text")
+    pairs = _hybrid(spark, folder).select("query_id", "row").join(texts, "row").join(texts.select(F.col("row").alias("query_id"), F.col("text").alias("asked")), "query_id")
+    scored = pairs.select("query_id", "row", F.round(rerank_score(F.col("asked"), F.col("text")), 9).alias("score"))
+    return fusion.threshold_floor(scored, 0.3, 1, FINAL_K)
+
+
+def embed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Size and norm of what the default embedder makes of each chunk with its context."""
+    made = _chunks(spark, folder).select("chunk_row", embed(embed_text(F.col("text"), F.col("context"))).alias("e"))
+    return made.select("chunk_row", F.size("e.sparse").cast("long").alias("n_features"), F.round(norm(F.col("e.dense")), 5).alias("norm"))
+
+
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
     sizes = _chunks(spark, folder).select(F.col("chunk_row").alias("row"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("size"))
     listed = _hybrid(spark, folder).select("query_id", "row", "rank").join(sizes, "row")
@@ -162,8 +178,9 @@ def negative_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def negative_strength(spark: SparkSession, folder: str) -> DataFrame:
     first = _sparse(spark, folder, 1).select("query_id", "score", F.lit("all").alias("g"))
-    base = evaluate.upper_median(first, "g", "score")
-    return first.join(base, "g").select("query_id", "score", "base", (F.col("score") >= F.col("base") * 0.8).alias("flagged"))
+    median = evaluate.upper_median(first, "g", "score").first()
+    base = F.lit(median["base"] if median else None).cast("double")
+    return first.select("query_id", "score", base.alias("base"), (F.col("score") >= base * 0.8).alias("flagged"))
 
 
 def non_empty(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,7 +189,7 @@ def non_empty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = (
-    "dense_topk sparse_topk bm25_topk filtered_topk hybrid_rrf weighted_rrf rrf_k2_vs_k60 path_shares rerank_threshold threshold_floor context_budget format_hits "
+    "dense_topk sparse_topk bm25_topk filtered_topk hybrid_rrf weighted_rrf rrf_k2_vs_k60 path_shares rerank_threshold rerank_lexical threshold_floor embed_chunks context_budget format_hits "
     "window_dedup score_queries macro_scores macro_by_type item_diff aggregate_diff tie_bands score_negatives negative_summary negative_strength non_empty"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

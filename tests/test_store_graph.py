@@ -5,7 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpuscle.functions import ids, text
+from corpuscle.functions import ids, models, text
 from corpuscle.operators import audit, graph, parsing, segment, store
 from corpuscle.sources import files
 from corpuscle.streaming import ingest, pairing
@@ -110,9 +110,19 @@ def test_parsing(spark):
     assert {(r.name, r.chunk_index) for r in parsing.citations(cites, "id", "t").collect()} == {("甲", 3), ("乙", 4)}
     triples = spark.createDataFrame([(1, "（甲，位于，乙）\n(a, b, c, d)\n(a, , c)\n(" + "长" * 50 + ", b, c)")], "id long, t string")
     assert {tuple(r)[1:] for r in parsing.triples(triples, "id", "t").collect()} == {("甲", "位于", "乙"), ("a", "b, c", "d")}
+    replies = spark.createDataFrame([(1, 'ok [["a", "r", "b"], ["a", "r"], ["", "r", "b"]]'), (2, '[{"head": "x", "relation": "r", "tail": " y "}, {"head": "x"}]'), (3, "none"), (4, None)], "id long, t string")
+    assert {tuple(r) for r in parsing.json_triples(replies, "id", "t").collect()} == {(1, "a", "r", "b"), (2, "x", "r", "y")}
     assert json.loads(parsing.first_json('x [1, {"a": "}"}] y')) == [1, {"a": "}"}] and parsing.first_json("{broken") is None and parsing.first_json(None) is None
 
 
+def test_models_are_deterministic(spark):
+    df = spark.createDataFrame([(1, "泵站 巡检"), (2, ""), (3, None)], "id long, t string")
+    got = {r.id: r.e for r in df.select("id", models.embed(F.col("t")).alias("e")).collect()}
+    assert len(got[1].dense) == 64 and abs(sum(x * x for x in got[1].dense) - 1) < 1e-5 and got[2].sparse == got[3].sparse == {}
+    scores = df.select(models.rerank_score(F.lit("泵站"), F.col("t")).alias("s")).collect()
+    assert [r.s for r in scores] == [1.0, 0.0, 0.0]
+
+
 def test_audit_outcomes(spark):
     rows = [(1, "1", "c1", "intent", None), (2, "2", "c1", "result", True), (2, "2", "c1", "result", True), (3, "3", "c2", "intent", None), (4, "4", "c2", "denied", None), (5, "5", "c3", "intent", None), (6, "6", "c4", "result", False), (7, "7", None, "intent", None)]
     log = spark.createDataFrame(rows, "rec_no long, ts string, call_id string, phase string, ok boolean").select("*", F.lit("t").alias("tool"), F.lit("a").alias("actor"), F.lit("x").alias("arg"), F.lit(None).cast("string").alias("detail"))
