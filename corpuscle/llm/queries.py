@@ -91,17 +91,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # Reduced texts character by character, apart from the expressions that the operators use.
 _REDUCED = r"""
-texts AS (SELECT chunk_row, text, list_filter(list_transform(regexp_split_to_array(text, '[；;\n]'),
+texts AS (SELECT level, chunk_row, text, list_filter(list_transform(regexp_split_to_array(text, '[；;\n]'),
               lambda x: regexp_replace(x, '^[\s\pZ\x{{1C}}-\x{{1F}}\x{{85}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]+|[\s\pZ\x{{1C}}-\x{{1F}}\x{{85}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]+$', '', 'g')), lambda x: x <> '') AS items
-          FROM chunks WHERE text IS NOT NULL),
-parts AS (SELECT chunk_row, CASE WHEN len(items) >= 3 AND len(list_filter(items, lambda x: NOT regexp_full_match(x, '[^：:]{{1,12}}[：:][^：:]+'))) = 0
+          FROM given WHERE text IS NOT NULL),
+parts AS (SELECT level, chunk_row, CASE WHEN len(items) >= 3 AND len(list_filter(items, lambda x: NOT regexp_full_match(x, '[^：:]{{1,12}}[：:][^：:]+'))) = 0
               THEN items ELSE [text] END AS parts FROM texts),
-pieces AS (SELECT chunk_row, unnest(range(1, len(parts) + 1)) AS k, unnest(parts) AS part FROM parts),
-plain AS (SELECT chunk_row, k, string_split(regexp_replace(lower(translate(part, '{wide}', '{narrow}')),
+pieces AS (SELECT level, chunk_row, unnest(range(1, len(parts) + 1)) AS k, unnest(parts) AS part FROM parts),
+plain AS (SELECT level, chunk_row, k, string_split(regexp_replace(lower(translate(part, '{wide}', '{narrow}')),
               '[\s\pZ\x{{1C}}-\x{{1F}}\x{{85}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]+', '', 'g'), '') AS cs FROM pieces),
-kept AS (SELECT chunk_row, k, array_to_string(list_filter(cs, lambda c, i: NOT regexp_full_match(c, '\pP')
+kept AS (SELECT level, chunk_row, k, array_to_string(list_filter(cs, lambda c, i: NOT regexp_full_match(c, '\pP')
               OR (i > 1 AND i < len(cs) AND cs[i - 1] BETWEEN '0' AND '9' AND cs[i + 1] BETWEEN '0' AND '9')), '') AS p FROM plain),
-reduced AS (SELECT chunk_row, string_agg(p, '' ORDER BY encode(p)) AS r FROM kept GROUP BY chunk_row)
+reduced AS (SELECT level, chunk_row, string_agg(p, '' ORDER BY encode(p)) AS r FROM kept GROUP BY level, chunk_row)
 """.format(
     wide="".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "　",
     narrow="".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + " ",
@@ -109,8 +109,26 @@ reduced AS (SELECT chunk_row, string_agg(p, '' ORDER BY encode(p)) AS r FROM kep
 
 
 def oracle_sql() -> dict[str, str]:
-    groups = f"WITH {_REDUCED}, g AS (SELECT r, min(chunk_row) AS first_row, count(*) AS n_copies FROM reduced WHERE r <> '' GROUP BY r)"
+    groups = f"WITH given AS (SELECT 'chunk' AS level, chunk_row, text FROM chunks), {_REDUCED}, g AS (SELECT r, min(chunk_row) AS first_row, count(*) AS n_copies FROM reduced WHERE r <> '' GROUP BY r)"
+    rules = f"""WITH given AS (SELECT 'chunk' AS level, chunk_row, text FROM chunks UNION ALL SELECT 'document', doc_row, text FROM kb_docs), {_REDUCED},
+      classes AS MATERIALIZED (SELECT level, r, row_number() OVER () AS c FROM reduced WHERE r <> '' GROUP BY level, r),
+      grams AS MATERIALIZED (SELECT DISTINCT level, c, substr(r, k, 5) AS g FROM (SELECT *, unnest(range(1, greatest(2, length(r) - 3))) AS k FROM classes)),
+      sizes AS MATERIALIZED (SELECT c, count(*) AS n FROM grams GROUP BY c),
+      shared AS MATERIALIZED (SELECT x.c AS a, y.c AS b, count(*) AS s FROM grams x JOIN grams y ON x.g = y.g AND x.level = y.level AND x.c < y.c GROUP BY ALL),
+      near AS (SELECT a, b FROM shared JOIN sizes p ON p.c = a JOIN sizes q ON q.c = b WHERE s >= {RULE_SIMILARITY} * (p.n + q.n - s)),
+      members AS (SELECT level, c, chunk_row FROM reduced JOIN classes USING (level, r))"""
+    units = """WITH units AS (SELECT chunk_row, list_transform(dense, lambda x: CAST(x AS DOUBLE)) AS v FROM chunks
+        WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+      cosines AS (SELECT a.chunk_row AS q, b.chunk_row AS o, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 9) AS s FROM units a JOIN units b ON a.chunk_row <> b.chunk_row),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, o) AS p FROM cosines) WHERE p <= 5)"""
+    blank = r"[\s\x0B\pZ\x{1C}-\x{1F}\x{85}]"
     return {
+        "p1_found": f"{units} SELECT DISTINCT least(q, o) AS row_a, greatest(q, o) AS row_b FROM best",
+        "p1_neighbours": f"{units} SELECT q AS chunk_row, o AS near_row, s AS cosine FROM best",
+        "p3_found": f"{rules} SELECT x.level, least(x.chunk_row, y.chunk_row) AS row_a, greatest(x.chunk_row, y.chunk_row) AS row_b FROM near JOIN members x ON x.c = a JOIN members y ON y.c = b",
+        "p5_found": f"""WITH cut AS (SELECT doc_row, regexp_extract_all(text, '[^\\r\\n。！？；!?;…]*[。！？；!?;…][。！？；!?;…」』”’）)》〉】〕｝"''\\]}}]*|[^\\r\\n。！？；!?;…]+|[\\r\\n]') AS s FROM kb_docs),
+          placed AS (SELECT doc_row, unnest(s) AS t, unnest(list_transform(range(len(s)), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0))) AS pos FROM cut)
+          SELECT doc_row, CAST(pos + length(t) - length(regexp_replace(t, '^{blank}+', '')) AS BIGINT) AS start_pos FROM placed WHERE length(regexp_replace(t, '^{blank}+|{blank}+$', '', 'g')) > 512""",
         "p2_found": f"{groups} SELECT first_row, chunk_row AS copy_row FROM reduced JOIN g USING (r) WHERE chunk_row <> first_row",
         "p2_records": f"{groups} SELECT first_row, n_copies FROM g",
     }
