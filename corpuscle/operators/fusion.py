@@ -27,6 +27,16 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: float = 60, limit: int = 20, we
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("rank", (F.col("rank") - 1).cast("long"))
 
 
+def single_path(dense: DataFrame, sparse: DataFrame, limit: int = 20) -> DataFrame:
+    """(query_id, row, score, rank, path) of queries that only one path answers: its own scores, unfused.
+
+    Queries with both paths are left to ``fuse``; those with none do not appear.
+    """
+    both = dense.withColumn("path", F.lit("dense")).unionByName(sparse.withColumn("path", F.lit("sparse")))
+    single = both.groupBy("query_id").agg(F.count_distinct("path").alias("n")).where("n = 1").select("query_id")
+    return both.join(single, "query_id", "left_semi").where(F.col("rank") < limit)
+
+
 def effective_k(top_k: int, fusion_k: int, dense_k: int, sparse_k: int) -> int:
     """How many results can come out at most; 0 stands for the default of 5."""
     return min(top_k or 5, fusion_k, dense_k + sparse_k)

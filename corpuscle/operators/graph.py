@@ -139,6 +139,22 @@ def orphans(touched: DataFrame, mentions: DataFrame, edges: DataFrame) -> DataFr
     return touched.select("id").distinct().join(mentioned, "id", "left_anti").join(beside, "id", "left_anti")
 
 
+def coverage(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(doc_id, n_chunks, n_mentioning, complete): whether every chunk of a document has mentions; a repeated chunk_id counts once."""
+    named = mentions.select("chunk_id").distinct().withColumn("named", F.lit(1))
+    each = chunks.select("doc_id", "chunk_id").distinct().join(named, "chunk_id", "left")
+    counted = each.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count("named").alias("n_mentioning"))
+    return counted.withColumn("complete", F.col("n_chunks") == F.col("n_mentioning"))
+
+
+def without_documents(mentions: DataFrame, chunks: DataFrame, entities: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mentions, entities) that are left when documents go: their chunks' mentions, and the touched entities that become orphans."""
+    lost = chunks.join(gone.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id").distinct()
+    left = mentions.distinct().join(lost, "chunk_id", "left_anti")
+    touched = mentions.join(lost, "chunk_id", "left_semi").select(F.col("entity_id").alias("id")).distinct()
+    return left, entities.join(orphans(touched, left, linked_terms(left)), "id", "left_anti")
+
+
 def linkable(pairs: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct (chunk_id, entity_id) pairs both of whose ends exist."""
     both = pairs.select("chunk_id", "entity_id").distinct().join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")

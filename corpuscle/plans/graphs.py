@@ -151,6 +151,24 @@ def orphan_entities(spark: SparkSession, folder: str) -> DataFrame:
     return graph.orphans(table(spark, folder, "entities"), left, graph.linked_terms(left))
 
 
+def graph_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.coverage(table(spark, folder, "chunks"), _mentions(spark, folder))
+
+
+def missing_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities with mentions in chunks that the visible collection lacks, and in how many."""
+    seen = table(spark, folder, "chunks").where(visible(F.col("status"))).select("chunk_id").distinct()
+    return _mentions(spark, folder).distinct().join(seen, "chunk_id", "left_anti").groupBy("entity_id").agg(F.count("*").alias("n_missing"))
+
+
+def entities_left(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities after the first versions of documents have gone, with their mentions."""
+    chunks = table(spark, folder, "chunks")
+    mentions, entities = graph.without_documents(_mentions(spark, folder), chunks, table(spark, folder, "entities"), chunks.where("doc_version = 'v1'"))
+    often = mentions.groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("n"))
+    return entities.select("id").join(often, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("long").alias("n_mentions"))
+
+
 def tie_of_seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Rounded seed scores, cut at a threshold with a floor of one seed for each query."""
     scored = _seeds(spark, folder).select("query_id", F.col("node").alias("row"), F.round("score", 1).alias("score"))
@@ -159,7 +177,7 @@ def tie_of_seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 NAMES = (
     "linkable edges degrees seed_entities seed_labels expand_hops facts mention_lookup graph_merge graph_only attached_facts entity_dupes entity_groups vector_dupes vector_groups canonical_entities relabel_edges "
-    "orphan_entities tie_of_seeds"
+    "orphan_entities graph_coverage missing_chunks entities_left tie_of_seeds"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -217,6 +235,12 @@ ORACLES = {
       WHERE coalesce(a.canonical_id, head) <> coalesce(b.canonical_id, tail)""",
     "orphan_entities": """WITH leftover AS (SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE coalesce(status, '') <> 'superseded'))
       SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM leftover)""",
+    "graph_coverage": """SELECT doc_id, count(*) AS n_chunks, count(m.chunk_id) AS n_mentioning, count(*) = count(m.chunk_id) AS complete FROM (SELECT DISTINCT doc_id, chunk_id FROM chunks)
+      LEFT JOIN (SELECT DISTINCT chunk_id FROM mentions) m USING (chunk_id) GROUP BY doc_id""",
+    "missing_chunks": """SELECT entity_id, count(*) AS n_missing FROM (SELECT DISTINCT * FROM mentions) WHERE chunk_id NOT IN (SELECT chunk_id FROM chunks WHERE coalesce(status, '') <> 'superseded') GROUP BY ALL""",
+    "entities_left": """WITH lost AS (SELECT DISTINCT chunk_id FROM chunks WHERE doc_id IN (SELECT doc_id FROM chunks WHERE doc_version = 'v1')), pairs AS (SELECT DISTINCT * FROM mentions WHERE chunk_id NOT IN (FROM lost)),
+      touched AS (SELECT DISTINCT entity_id FROM mentions WHERE chunk_id IN (FROM lost)), often AS (SELECT entity_id, count(*) AS n FROM pairs GROUP BY ALL)
+      SELECT id, coalesce(n, 0) AS n_mentions FROM entities LEFT JOIN often ON entity_id = id WHERE n > 0 OR id NOT IN (FROM touched)""",
     "tie_of_seeds": f"""WITH {_SEEDS}, t AS (SELECT query_id, node AS "row", round(score, 1) AS score FROM seeds), c AS (SELECT *, row_number() OVER w AS p, count(*) FILTER (score >= 0.4) OVER (PARTITION BY query_id) AS n FROM t
       WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, encode("row")))
       SELECT query_id, "row", score, p - 1 AS "rank" FROM c WHERE (score >= 0.4 OR (n < 1 AND p <= 1)) AND p <= 10""",

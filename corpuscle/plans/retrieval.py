@@ -70,6 +70,11 @@ def hybrid_rrf(spark: SparkSession, folder: str) -> DataFrame:
     return _hybrid(spark, folder)
 
 
+def single_path(spark: SparkSession, folder: str) -> DataFrame:
+    seen = _chunks(spark, folder).where(visible(F.col("status")))
+    return fusion.single_path(_dense(spark, folder, PATH_K, seen), _sparse(spark, folder, PATH_K, seen))
+
+
 def weighted_rrf(spark: SparkSession, folder: str) -> DataFrame:
     return _hybrid(spark, folder, weights=(2.0, 1.0))
 
@@ -189,7 +194,7 @@ def non_empty(spark: SparkSession, folder: str) -> DataFrame:
 
 
 NAMES = (
-    "dense_topk sparse_topk bm25_topk filtered_topk hybrid_rrf weighted_rrf rrf_k2_vs_k60 path_shares rerank_threshold rerank_lexical threshold_floor embed_chunks context_budget format_hits "
+    "dense_topk sparse_topk bm25_topk filtered_topk hybrid_rrf single_path weighted_rrf rrf_k2_vs_k60 path_shares rerank_threshold rerank_lexical threshold_floor embed_chunks context_budget format_hits "
     "window_dedup score_queries macro_scores macro_by_type item_diff aggregate_diff tie_bands score_negatives negative_summary negative_strength non_empty"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
@@ -252,6 +257,8 @@ ORACLES = {
         FROM tf q JOIN tf c ON q.term = c.term AND q.chunk_row <> c.chunk_row JOIN df ON df.term = q.term, n WHERE q.chunk_row % 100 = 0 GROUP BY ALL) {_rank('bm', 10)}""",
     "filtered_topk": f"{_BASE} {_rank('cosines', 10, 'seen')}",
     "hybrid_rrf": f"{_BASE} SELECT * FROM fused",
+    "single_path": f"""{_BASE}, every AS (SELECT *, 'dense' AS path FROM d50 UNION ALL SELECT *, 'sparse' FROM s50) SELECT query_id, "row", score, "rank", path FROM every
+      WHERE "rank" < 20 AND query_id IN (SELECT query_id FROM every GROUP BY query_id HAVING count(DISTINCT path) = 1)""",
     "weighted_rrf": f"{_BASE} {_fuse(60, 2, 1)}",
     "rrf_k2_vs_k60": f'{_BASE}, two AS ({_fuse(2)}) SELECT query_id, "row", t."rank" AS rank_k2, f."rank" AS rank_k60 FROM two t FULL JOIN fused f USING (query_id, "row")',
     "path_shares": f"{_BASE} SELECT path, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM fused GROUP BY path",

@@ -25,6 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def plain_unions(spark: SparkSession) -> None:
+    """Let unions forget how their sides are partitioned.
+
+    Spark 4.1 otherwise pairs the sides' partitions one by one, and fails ("Can't zip RDDs
+    with unequal numbers of partitions") where adaptive execution has merged the partitions of
+    one side further than those of the other.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     context = df.sparkSession.sparkContext

@@ -17,5 +17,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from corpuscle.session import plain_unions
+
+    plain_unions(session)
     yield session
     session.stop()

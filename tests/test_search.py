@@ -52,6 +52,15 @@ def test_fusion_and_weights(spark):
     assert fusion.effective_k(0, 20, 50, 50) == 5 and fusion.effective_k(30, 20, 8, 8) == 16
 
 
+def test_unions_of_unevenly_merged_sides(spark):
+    many = spark.range(20_000).select((F.col("id") % 50).alias("query_id"), F.col("id").alias("row"), F.rand(1).alias("score"))
+    few = many.where("query_id = 7")
+    dense, sparse = search.ranked(many, 30, "row"), search.ranked(few, 30, "row")
+    alone = fusion.single_path(dense, sparse)
+    assert alone.select("query_id").distinct().count() == 49 and alone.where("path = 'sparse'").count() == 0
+    assert fusion.fuse(dense, sparse).select("query_id").distinct().count() == 50
+
+
 def test_threshold_floor_budget_and_dedup(spark):
     scored = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.2), (1, 3, 0.2), (2, 4, 0.1), (2, 5, None), (2, 6, 0.1)], "query_id long, row long, score double")
     kept = {(r.query_id, r["row"], r.rank) for r in fusion.threshold_floor(scored, 0.5, 2, 5).collect()}
