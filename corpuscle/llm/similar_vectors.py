@@ -35,7 +35,7 @@ class ForestSpec:
     """
 
     trees: int = 24
-    uses: int = 4
+    uses: int = 5
     dims: int = 10
     leaf_rows: int = 2048
     bucket_rows: int = 64
