@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions.status import visible
-from corpuscle.operators import fusion, graph, search
+from corpuscle.operators import alike_vectors, fusion, graph, search
 from corpuscle.plans import retrieval
+from corpuscle.session import shared_table
 from corpuscle.sources.tables import table
 
 
@@ -118,17 +119,17 @@ def entity_groups(spark: SparkSession, folder: str) -> DataFrame:
     return _groups(spark, folder)
 
 
-def _alike_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    near = retrieval.dense_topk(spark, folder).where("score >= 0.97")
-    return near.select(F.least("query_id", "row").alias("a"), F.greatest("query_id", "row").alias("b")).distinct()
+def _alike_vectors(spark: SparkSession, folder: str, links_only: bool = False) -> DataFrame:
+    return alike_vectors.alike_vectors(table(spark, folder, "chunks"), "chunk_row", "dense", retrieval.WIDTH, 0.97, links_only)
 
 
 def vector_dupes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two chunks of a cosine of 0.97 or more; of chunks with identical vectors the first one stands for all."""
     return _alike_vectors(spark, folder)
 
 
 def vector_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.components(_alike_vectors(spark, folder))
+    return graph.components(shared_table(_alike_vectors(spark, folder, links_only=True)))
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
