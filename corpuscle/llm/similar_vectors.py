@@ -25,6 +25,10 @@ from corpuscle.llm.format_copies import collapse_copies, join_groups
 from corpuscle.session import shared_table
 
 
+#: How far apart single precision may put two equal cosines; about how many candidates are ranked exactly at once.
+TIED, EXACT_PAIRS = 4e-6, 50_000
+
+
 @dataclass(frozen=True)
 class ForestSpec:
     """Parameters of the index.
@@ -119,7 +123,6 @@ def _buckets(at: np.ndarray, size: int) -> list[np.ndarray]:
 def nearest(rows: np.ndarray, unit: np.ndarray, projection: np.ndarray, k: int, spec: ForestSpec) -> tuple[np.ndarray, np.ndarray]:
     """(n, k) ids and cosines (nan where there are fewer) of the most similar rows of one leaf; ``unit`` is double."""
     n, test = len(rows), chi_square(spec.confidence, spec.dims)
-    spare = k + 8
     single = unit.astype(np.float32)
     at = single @ projection
     buckets = _buckets(at, spec.bucket_rows)
@@ -143,15 +146,20 @@ def nearest(rows: np.ndarray, unit: np.ndarray, projection: np.ndarray, k: int,
         if pending.any():
             more = np.concatenate([buckets[b] for b in np.flatnonzero(pending)])
             cand, cos = np.concatenate([cand, more]), np.concatenate([cos, single[own] @ single[more].T], axis=1)
-        take = min(spare, len(cand))
-        top = np.argpartition(-cos, take - 1, axis=1)[:, :take] if take < len(cand) else np.tile(np.arange(len(cand)), (len(own), 1))
-        near = cand[top]
-        exact = np.round(np.einsum("ij,ikj->ik", unit[own], unit[near]), 9)
-        exact[near == own[:, None]] = np.nan
-        ids = rows[near]
-        rank = np.lexsort((ids, np.where(np.isnan(exact), 9, -exact)), axis=1)[:, :k]
-        width = rank.shape[1]
-        out_ids[own, :width], out_cos[own, :width] = np.take_along_axis(ids, rank, 1), np.take_along_axis(exact, rank, 1)
+        # Every candidate that single precision can't tell from the k-th best goes on, however many those are.
+        least = np.partition(cos, -k, axis=1)[:, -k] - TIED if len(cand) > k else np.full(len(own), -np.inf, np.float32)
+        within = (cos >= least[:, None]).sum(axis=1)
+        order = np.argsort(within, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(within[order]) // EXACT_PAIRS)) + 1):
+            take = int(within[part].max())
+            top = np.argpartition(-cos[part], take - 1, axis=1)[:, :take] if take < len(cand) else np.tile(np.arange(len(cand)), (len(part), 1))
+            near, asked = cand[top], own[part]
+            exact = np.round(np.einsum("ij,ikj->ik", unit[asked], unit[near]), 9)
+            exact[near == asked[:, None]] = np.nan
+            ids = rows[near]
+            rank = np.lexsort((ids, np.where(np.isnan(exact), 9, -exact)), axis=1)[:, :k]
+            width = rank.shape[1]
+            out_ids[asked, :width], out_cos[asked, :width] = np.take_along_axis(ids, rank, 1), np.take_along_axis(exact, rank, 1)
     return out_ids, out_cos
 
 

@@ -56,3 +56,16 @@ def test_empty_and_single(spark):
 def test_chi_square_quantiles():
     for dims, confidence, known in ((10, 0.99, 23.209), (8, 0.95, 15.507), (4, 0.9, 7.779)):
         assert abs(sv.chi_square(confidence, dims) / known - 1) < 0.01
+
+
+def test_many_ties_go_to_the_smaller_rows():
+    rnd = np.random.RandomState(3)
+    lengths = rnd.uniform(0.1, 9, 200)
+    vectors = (lengths[:, None] * rnd.standard_normal(16)).astype(np.float32)  # parallel, all of another length
+    rows = rnd.permutation(200) + 1
+    unit = sv._unit(vectors.astype(float))
+    spec = sv.ForestSpec()
+    ids, cos = sv.nearest(rows, unit, rnd.standard_normal((16, spec.dims)).astype(np.float32), 5, spec)
+    assert (cos == 1).all()
+    for row, near in zip(rows, ids, strict=True):
+        assert near.tolist() == [r for r in range(1, 8) if r != row][:5]
