@@ -89,10 +89,10 @@ def path_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rescored(spark: SparkSession, folder: str) -> DataFrame:
-    """Fused candidates with a second score: the exact cosine, 0 where the row has no vector of its own in the dense path."""
-    fused = _hybrid(spark, folder).select("query_id", "row")
-    exact = _dense(spark, folder, PATH_K, _chunks(spark, folder).where(visible(F.col("status")))).select("query_id", "row", F.col("score").alias("cos"))
-    return fused.join(exact, ["query_id", "row"], "left").select("query_id", "row", F.coalesce("cos", F.lit(0.0)).alias("score"))
+    """Fused candidates with a second score: the exact cosine of every one, 0 only where a vector is unusable."""
+    fused, chunks = _hybrid(spark, folder).select("query_id", "row"), _chunks(spark, folder)
+    queries = chunks.where(ASKED).select(F.col("chunk_row").alias("query_id"), F.col("dense").alias("vector"))
+    return search.cosines(fused, queries, chunks.select(F.col("chunk_row").alias("row"), F.col("dense").alias("vector")), WIDTH)
 
 
 def rerank_threshold(spark: SparkSession, folder: str) -> DataFrame:

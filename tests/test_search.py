@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.operators import evaluate, fusion, search
+from corpuscle.plans import retrieval
 
 
 def test_dense_topk_ties_and_unusable_vectors(spark):
@@ -103,3 +104,11 @@ def test_negatives_and_differences(spark):
     assert evaluate.upper_median(values, "g", "v").first().base == 3.0
     assert evaluate.non_empty_rate(listed, negatives).first().rate == pytest.approx(2 / 3, abs=1e-8)
     assert evaluate.macro(evaluate.score_queries(listed.limit(0), gold.limit(0).select(F.lit(1).alias("query_id"), "row", F.lit(1).alias("grade")), [3])).count() == 0
+
+
+def test_rescoring_takes_the_vectors_of_sparse_candidates(spark, tmp_path):
+    vector = [1.0] * 64
+    rows = [(100, vector, {"1": 1.0}, None), *((r, vector, {}, None) for r in range(101, 161)), (205, vector, {"1": 1.0}, None), (206, None, {"1": 1.0}, None)]
+    spark.createDataFrame(rows, "chunk_row long, dense array<float>, sparse map<string,float>, status string").write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {r["row"]: r.score for r in retrieval._rescored(spark, str(tmp_path)).where("query_id = 100").collect()}
+    assert got[205] == 1.0 and got[206] == 0.0 and got[101] == 1.0
