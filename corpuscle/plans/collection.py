@@ -129,7 +129,7 @@ def changed_docs(spark: SparkSession, folder: str) -> DataFrame:
     """The first load of every document against its latest one, each as one piece."""
     piece = lambda df: df.select("doc_id", F.lit(0).alias("chunk_index"), F.sha1(F.coalesce("text", F.lit("")).cast("binary")).alias("h"))
     first = store.latest(_docs(spark, folder), ["doc_id"], F.asc_nulls_first("loaded_at"), F.asc("doc_row"))
-    return store.document_state(piece(first.where("doc_row % 10 <> 0")), piece(_latest_docs(spark, folder)))
+    return store.document_state(piece(first), piece(_latest_docs(spark, folder)))
 
 
 def duplicate_content(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions import ids, models, text
 from corpuscle.operators import audit, graph, parsing, segment, store
+from corpuscle.plans import collection
 from corpuscle.sources import files
 from corpuscle.streaming import ingest, pairing
 
@@ -173,3 +174,10 @@ def test_stream_pairs_calls(spark, tmp_path):
     log.write.parquet(str(tmp_path / "log"))
     got = pairing.drain(pairing.paired_calls(pairing.log_stream(spark, str(tmp_path / "log"), log.schema))).collect()
     assert [tuple(r) for r in got] == [("c1", "t", 5, True)]
+
+
+def test_changed_docs_keeps_every_first_load(spark, tmp_path):
+    rows = [(10, "a", "old", 1), (11, "a", "new", 2), (20, "b", "same", 1), (21, "b", "same", 3), (30, "c", "once", 1), (13, "d", "x", 1), (14, "d", "y", 2)]
+    spark.createDataFrame(rows, "doc_row long, doc_id string, text string, loaded_at long").write.parquet(f"{tmp_path}/kb_docs.parquet")
+    got = {r.doc_id: r.state for r in collection.changed_docs(spark, str(tmp_path)).collect()}
+    assert got == {"a": "changed", "b": "unchanged", "c": "unchanged", "d": "changed"}
