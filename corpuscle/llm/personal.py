@@ -5,6 +5,13 @@ characters become ASCII one by one, then ``[at]`` / ``(dot)`` disguises, blanks
 spelled digits and zero-width characters are rewritten.  Every step keeps, for each
 character of its output, the place in the source that it stands for, so identifiers are
 detected in the plain copy and their spans are mapped back to the source characters.
+
+Names of persons have no form of their own.  A first pass of Spark counts, over all texts, how often
+each Han character stands in running text and how often in names behind labels
+(姓名：, 联系人：), and which Latin words are written small; the second pass weighs every family
+name with one or two characters behind it, and every run of capitalised words, by those
+counts, by general knowledge (common family and given names, frequent characters) and by what stands left and
+right of it.  Both tables have a size bound that does not depend on the data (`NameModel`).
 """
 
 from __future__ import annotations
@@ -19,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscle.llm.names import NameModel, chinese_names, english_names, name_model
+
 KINDS = ("email", "identity", "phone", "address", "person")
 
 # Full-width forms, other blanks, dashes and dots, and Cyrillic or Greek letters that look like Latin ones.
@@ -53,50 +62,36 @@ _FIGURES = re.compile(r"[+(\d][\d ().+-]{7,}+")
 # A number ends before anything but a digit, or before the number of a thing (1 or 2 digits and 号) set right behind it.
 _END = r"(?:(?!\d)|(?=\d{1,2}号))"
 _CHINA = r"(?:\(\+?86\)|\+86|0086)[ -]?"
+_GAP = r"(?: - |[ .-])?"
 _PHONE = re.compile(
-    rf"(?<![\dA-Za-z])(?:(?:{_CHINA}|(?<!\d)86[ -])?1[3-9]\d[ -]?\d{{4}}[ -]?\d{{4}}{_END}"  # mobile
+    rf"(?<![\dA-Za-z])(?:(?:{_CHINA}|(?<!\d)86[ -])?1{_GAP}[3-9](?:{_GAP}\d){{9}}{_END}"  # mobile, in any grouping
     rf"|(?:{_CHINA})?(?:\(0\d{{2,3}}\)|0\d{{2,3}}-?)[ ]?(?:\d{{4}}[ -]?\d{{4}}|\d{{3}}[ -]?\d{{4}}){_END}"  # with area code
     rf"|{_CHINA}\(?[1-9]\d{{1,2}}\)?[ -]?\d{{4}}[ -]?\d{{3,4}}{_END}"
     rf"|(?:\+|00)44[ -]?(?:\(0\)[ ]?)?\d{{2,4}}[ -]?\d{{3,4}}[ -]?\d{{3,4}}{_END}|\(?0\d{{2,4}}\)?[ -]\d{{3,4}}[ -]\d{{3,4}}{_END}"  # UK
     rf"|(?:\+?1[ .-]?)?(?:\([2-9]\d{{2}}\)[ ]?|[2-9]\d{{2}}[ .-])\d{{3}}[ .-]\d{{4}}{_END})"  # US
 )
+#: Usual groupings; a number grouped otherwise is none of a telephone behind the words for another kind of number.
+_USUAL = re.compile(r".*1[3-9]\d[ -]?\d{4}[ -]?\d{4}|(?!.*1[ .-]?[3-9](?:(?: - |[ .-])?\d){9}).*")
+_OTHER_NUMBER = re.compile(r"(?:\b(?:part|serial|order|item|invoice|batch|model|ticket|tracking|account)(?: (?:number|no\.?|id|code))?|流水号|单号|编号|条码|工单|订单|型号|批号|件号)[:#]? ?$", re.I)
 _IDENTITY = re.compile(r"(?<![\dA-Za-z])\d(?:[ -]?\d){16}[ -]?[\dXx](?!\d)")
-_SOCIAL = re.compile(r"(?<![\dA-Za-z-])\d{3}-\d{2}-\d{4}(?![\d-])|(?:(?<=ID )|(?<=number )|(?<=holder )|(?<=SSN )|(?<=ID: )|(?<=SSN: ))\d{3} ?\d{2} ?\d{4}(?!\d)")
+_SOCIAL = re.compile(r"(?<![\dA-Za-z-])(?<!\d )\d{3}([ -])\d{2}\1\d{4}(?![\d-]| \d)|(?:(?<=ID )|(?<=number )|(?<=holder )|(?<=SSN )|(?<=ID: )|(?<=SSN: ))\d{3} ?\d{2} ?\d{4}(?!\d)")
 _WEIGHTS = [pow(2, 17 - i, 11) for i in range(17)]
 
 _WAY = "大街|大道|街道|胡同|路|街|巷|弄|里|村"
-_NUMBER = r"[0-9一二三四五六七八九十百零〇]+"
-_NUMBERED = re.compile(rf"(?:{_WAY}) ?(?:第 ?)?{_NUMBER} ?(?:号|組|组|弄)(?:院)?")
-_CUED = re.compile(r"(?:住址|地址|家住|人住|寄至|寄到|送至|送到|时放|住在|位于)[:为是在]? ?((?:[一-鿿]{2,6}?(?:省|自治区|市|州|区|县|旗|镇|乡) ?){0,4}[一-鿿]{2,6}?)$")
-_PLACES = re.compile(r"((?:[一-鿿]{2}省 ?)?(?:[一-鿿]{2}市 ?)?(?:[一-鿿]{2}[区县旗] ?)?(?:[一-鿿]{2}[镇乡] ?)?[一-鿿]{2}[东西南北中]?)$")
-_REST = re.compile(rf" ?(?:附 ?{_NUMBER} ?号| ?{_NUMBER} ?(?:号楼|号|幢|栋|座|单元|层|楼|室)|\d+(?!\d*[-年月日])(?=[^\d.]|$))*")
+_FIGURE = r"(?:[0-9]+[A-Za-z]?(?:-[0-9]+[A-Za-z]?)?|[一二三四五六七八九十百零〇]+)"
+_NUMBERED = re.compile(rf"(?:{_WAY}) ?(?:第 ?)?{_FIGURE} ?(?:号|組|组|弄)(?:院)?")
+_REST = re.compile(rf" ?(?:附 ?{_FIGURE} ?号| ?{_FIGURE} ?(?:号楼|号|幢|栋|座|单元|层|楼|室)|\d+(?!\d*[-年月日])(?=[^\d.]|$))*")
 _ROAD = re.compile(
     r"\d{1,5}[A-Z]?,? (?:[A-Z][a-z']+ ){1,3}(?:Road|Street|Lane|Avenue|Close|Way|Court|Drive|Square|Row|Terrace|Rd|St|Ave|Ln)\b\.?"
     r"(?:, (?:Flat|Apt|Unit|Suite) \w+)?(?:, [A-Z][a-z]+(?: [A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2})?)?"
 )
 
-# Chinese family names, the characters of given names, English given and family names.
-_FAMILY = (
-    "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段雷钱汤尹黎易常武乔贺赖龚文"
-    "庞樊兰殷施陶洪翟安颜倪严牛温芦季俞章鲁葛伍韦申尤毕聂焦向柳邢骆岳齐梅庄涂祁耿詹关费纪靳童欧甄裴祝霍宁尚符单柴路冉盛覃莫肖"
-)
-_COMPOUND = "欧阳|慕容|司徒|上官|皇甫|尉迟|司马|诸葛|夏侯|令狐|端木|东方|公孙|长孙|宇文|轩辕|钟离|独孤"
-_GIVEN = "澍昶稷赟邈苓琬淙旻霖珩煊璟沁雯霁谦葳昀飏蓁遥翎聿笙潼锴瑄骞薇祎暄竣浔泠筠燊曦茜蕴萱麒祺钰铮湉荃隽皓舷芃珏茗韵骁晔瑜轩岑逸烨琛鹄篁颢晗莘穆芮韬菁漪璇翊炜黛衡"
-_ENGLISH_GIVEN = "Quilla Haldis Corwin Ilvana Thandor Ulrike Jorunn Ysolde Bettany Vesper Wendel Oswin Zorah Severin Aldous Mirela Tessaly Pelham Rosvita Brannoc"
-_ENGLISH_FAMILY = (
-    "Ashgrove-Pike Lanquist Brandrow Vandermoor Merrowdale Tillinghurst Stavenor Garrick-Voss Inglebark O'Farrowby Jessamor Netherslade "
-    "Kelverne Hestrom Eskeril Dunmarrow Ruddock-Lane Fallowby Prendle Tostan"
-)
-
-_CHINESE = re.compile(rf"(?:{_COMPOUND}|[{_FAMILY}])[ ·]?[{_GIVEN}]{{1,2}}")
-_CHINESE_CUED = re.compile(rf"(?:姓名|联系人|登记人|审核|批准)[:] ?((?:{_COMPOUND}|[{_FAMILY}]) ?[一-鿿]{{1,2}})(?![一-鿿])")
-_NAME = r"[A-Z][a-z]+(?:-[A-Z][a-z]+)?"
-_FIRST, _LAST = f"(?:{_ENGLISH_GIVEN.replace(' ', '|')})", f"(?:{_ENGLISH_FAMILY.replace(' ', '|')})"
-_ENGLISH = re.compile(
-    rf"\b(?:{_FIRST} (?:[A-Z]\.? )?(?:O'|Mc|Mac)?{_NAME}|(?:O'|Mc|Mac)?{_NAME}, {_FIRST}\b(?: [A-Z]\.)?|(?!(?:Contact|Reply|Yesterday|Applicant|The|And|With|For|By|To)\b)[A-Z][a-z]+ (?:[A-Z]\. )?{_LAST}\b(?!, {_FIRST}))"
-    rf"|(?:(?<=Applicant: )|(?<=According to )|(?<=Keys are with )|(?<=parcel for )|(?<=drafted by )){_NAME},? (?:[A-Z]\. )?(?:O'|Mc|Mac)?{_NAME}"
-)
-_ENGLISH_HINTS = (*_ENGLISH_GIVEN.split(), *_ENGLISH_FAMILY.split(), "Applicant: ", "According to ", "Keys are with ", "parcel for ", "drafted by ")
+# What large units of places end with, and words that an address stands behind.
+_UNIT = re.compile("自治区|自治州|自治县|特别行政区|地区|新区|[省市州盟区县旗镇乡]")
+_CUE = re.compile("住址|地址|家住|人住|寄至|寄到|送至|送到|时放|住在|位于|放在|设在|坐落在|坐落于|门牌|[在到至于往住距从沿经过去找寄送放](?=..)")
+_TAIL_OF_CUE = re.compile("[为是在] ?")
+#: A place without a boundary or a word like those before it: units with names of two characters, the most common length.
+_SHORT = re.compile(r"((?:[一-鿿]{2}省 ?)?(?:[一-鿿]{2}市 ?)?(?:[一-鿿]{2}[区县旗] ?)?(?:[一-鿿]{2}[镇乡] ?)?[一-鿿]{2}[东西南北中]?)$")
 
 
 #: For each character of a rewritten text, where in the source that which it stands for starts and ends.
@@ -169,38 +164,53 @@ def _identities(plain: str, figures: list[tuple[int, int]]) -> Iterator[tuple[in
 def _phones(plain: str, figures: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     for begin, end in figures:
         for m in _PHONE.finditer(plain, begin, end):
-            yield m.span()
+            if _USUAL.fullmatch(m.group()) or not _OTHER_NUMBER.search(plain, max(0, m.start() - 24), m.start()):
+                yield m.span()
+
+
+def _is_han(char: str) -> bool:
+    return "一" <= char <= "鿿"
+
+
+def _place_start(plain: str, end: int) -> int | None:
+    """Where the place begins whose last name ends at ``end``: behind a boundary or a word like 位于, else by the usual length of names."""
+    begin, low = end, max(0, end - 40)
+    while begin > low and (_is_han(plain[begin - 1]) or (plain[begin - 1] == " " and begin - 2 >= low and _UNIT.match(plain[begin - 2]))):
+        begin -= 1
+    cued = False
+    for cue in _CUE.finditer(plain, begin, end):
+        # Within a place, behind one of its units, such a character belongs to a name.
+        if end - cue.end() >= 2 and not (cue.start() > begin and _UNIT.match(plain[cue.start() - 1])):
+            tail = _TAIL_OF_CUE.match(plain, cue.end(), end) if len(cue.group()) > 1 else None
+            begin, cued = (tail.end() if tail else cue.end()), True
+    first = next((m for m in _UNIT.finditer(plain, begin, end) if m.start() >= begin + 2), None)
+    length = (first.start() if first else end) - begin
+    longest = 6 if cued or (first and len(first.group()) > 1) else 4 if first else 3 + (plain[end - 1] in "东西南北中")
+    if 2 <= length <= longest:
+        return begin
+    short = _SHORT.search(plain[max(0, end - 24) : end])
+    return end - len(short.group(1)) if short else None
 
 
 def _addresses(plain: str) -> Iterator[tuple[int, int]]:
     for m in _NUMBERED.finditer(plain):
-        before = plain[max(0, m.start() - 40) : m.start()]
-        place = _CUED.search(before) or _PLACES.search(before)
-        if place:
-            yield m.start() - len(place.group(1)), _REST.match(plain, m.end()).end()
+        start = _place_start(plain, m.start())
+        if start is not None:
+            yield start, _REST.match(plain, m.end()).end()
     for m in _ROAD.finditer(plain):
         if not m.start() or not plain[m.start() - 1].isalnum():
             yield m.span()
 
 
-def _persons(plain: str) -> Iterator[tuple[int, int]]:
-    for m in _CHINESE.finditer(plain):
-        yield m.span()
-    for m in _CHINESE_CUED.finditer(plain):
-        yield m.span(1)
-    if any(hint in plain for hint in _ENGLISH_HINTS):
-        for m in _ENGLISH.finditer(plain):
-            yield m.span()
-
-
-def find_spans(plain: str) -> list[tuple[str, int, int]]:
+def find_spans(plain: str, model: NameModel = NameModel()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the items in a text of ``plain_signs``, in order and without overlap, in source characters."""
     plain, at = normalise(plain)
     taken: list[tuple[int, int, str]] = []
     emails = (m.span() for m in _EMAIL.finditer(plain)) if "@" in plain else ()
     # Each stretch with what may follow it: a check character, or the number of a thing with 号.
     figures = [(m.start(), m.end() + 3) for m in _FIGURES.finditer(plain)]
-    for kind, spans in zip(KINDS, (emails, _identities(plain, figures), _phones(plain, figures), _addresses(plain), _persons(plain)), strict=True):
+    persons = (*chinese_names(plain, model), *english_names(plain, model))
+    for kind, spans in zip(KINDS, (emails, _identities(plain, figures), _phones(plain, figures), _addresses(plain), persons), strict=True):
         for start, end in spans:
             i = bisect_left(taken, (start,))
             if (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or end <= taken[i][0]):
@@ -219,11 +229,11 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*parts, text[last:]])
 
 
-def _scan(with_text: bool):
+def _scan(with_text: bool, model: NameModel):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            found = [find_spans(t) if t else [] for t in plain_signs([t or "" for t in texts])]
+            found = [find_spans(t, model) if t else [] for t in plain_signs([t or "" for t in texts])]
             kinds = [[k for k, _, _ in spans] for spans in found]
             starts, ends = [[s for _, s, _ in spans] for spans in found], [[e for _, _, e in spans] for spans in found]
             columns = [batch.column(0), pa.array(kinds, pa.list_(pa.string())), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))]
@@ -243,17 +253,21 @@ def _texts(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
 
 
+def _plain_texts(texts: list[str]) -> list[str]:
+    return [normalise(t)[0] for t in plain_signs(texts)]
+
+
 def personal_items(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, kind, start_pos, end_pos): every item in the whole text of every row, as source characters.
 
     Null and empty texts have no items; repeated rows are searched each for itself.
     """
-    found = _texts(df, doc, text).mapInArrow(_scan(False), _FOUND)
+    found = _texts(df, doc, text).mapInArrow(_scan(False, name_model(df, text, _plain_texts)), _FOUND)
     items = found.select("doc", F.explode(F.arrays_zip("kinds", "starts", "ends")).alias("i"))
     return items.select(F.col("doc").alias(doc), F.col("i.kinds").alias("kind"), F.col("i.starts").alias("start_pos"), F.col("i.ends").alias("end_pos"))
 
 
 def redacted_texts(df: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, text, n_items): texts with typed placeholders for their items; null stays null, other text is unchanged."""
-    found = _texts(df, doc, text).mapInArrow(_scan(True), f"{_FOUND}, redacted string")
+    found = _texts(df, doc, text).mapInArrow(_scan(True, name_model(df, text, _plain_texts)), f"{_FOUND}, redacted string")
     return found.select(F.col("doc").alias(doc), F.col("redacted").alias("text"), F.size("kinds").cast("long").alias("n_items"))

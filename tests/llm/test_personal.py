@@ -55,3 +55,69 @@ def test_placeholders_and_edges(spark):
     found = personal.personal_items(df, "doc_id", "text")
     assert {(r.doc_id, r.kind, r.start_pos) for r in found.collect()} == {(1, "person", 4), (1, "phone", 10), (1, "person", 0), (4, "email", 200_000)}
     assert found.limit(0).count() == 0 and personal.personal_items(df.limit(0), "doc_id", "text").count() == 0
+
+
+# Hand-made sentences that have nothing to do with the test data: items in double brackets, with their kind.
+HELD_OUT = """
+[[person:王小明]]今天来电，说[[person:张伟]]和[[person:刘洋]]在现场。
+经办人[[person:陈建国]]签字后交给[[person:李娜]]。
+参加会议的有[[person:王芳]]、[[person:李强]]、[[person:赵敏]]。
+请[[person:孙丽华]]同志联系[[person:周杰]]先生，手机[[phone:138.0013.8000]]。
+[[person:欧阳文静]]老师住在[[address:北京市朝阳区建国路88号3号楼]]。
+[[address:石景山路5号]]的[[person:吴军]]反映噪声大。
+联系人：[[person:郑晓峰]]，电话：[[phone:1380-0138-000]]，邮箱 [[email:zheng.xf@mail.example.org]]。
+客户[[person:黄志强]]于昨天在[[address:黑龙江省哈尔滨市南岗区学府路12号]]签收。
+寄到[[address:上海市浦东新区世纪大道100号]]，收件人：[[person:何雪梅]]。
+据[[person:马文博]]介绍，[[address:内蒙古自治区呼和浩特市新城区新华大街1号]]已拆迁。
+[[person:李雷]]说[[person:韩梅梅]]不在。
+由[[person:诸葛明]]担任主任，[[person:徐晨]]负责记录。
+地址：[[address:文三路12-3号]]，电话[[phone:0571-8888 1234]]。
+家住[[address:广州市天河区体育西路103号]]的[[person:林嘉欣]]今天报告。
+[[address:解放路12A号]]门口有人等[[person:胡国庆]]。
+身份证号[[identity:11010519491231002X]]，姓名：[[person:朱秀英]]。
+任何人不得擅自操作高压设备，方案另行通知，安全第一，万一停电时间不够。
+金属软管与石油管道应分开，于是高度、温度、江水都要记录，白天施工。
+订单号44777249856已发货，流水号 20240101123，版本3.2.1。
+[[person:John Smith]] called yesterday, then [[person:Maria Garcia]] wrote to us.
+Yesterday [[person:Emma Watson]] came with [[person:Priya Raman]] to the office.
+Contact [[person:O'Brien, Patrick]] at [[phone:+44 20 7946 0018]] or [[email:pob [at] firm [dot] example]].
+Dr. [[person:Robert Brown]] lives at [[address:12 Station Road]]; SSN [[identity:666 27 2144]].
+The report was drafted by [[person:Anna-Lena Kovacs]], not by the New York Times.
+Machine Learning Group visited San Francisco and Oxford University on Monday.
+The White House and Union Station are closed until June. Part number 136532-93289 is obsolete.
+Dear [[person:Thomas K. Miller]], your order left Springfield Depot.
+Regards, [[person:Tom Hardy]]
+According to [[person:Yusuf Demir]] the valve failed at [[address:221B Baker Street]].
+Signed: [[person:McAllister, Joan]] and [[person:David Lee]], [[phone:(312) 555-0142]].
+"""
+
+
+def test_held_out_precision_and_recall():
+    """Sentences from outside the corpus, each kind's precision and recall (shown with ``-s``); a single text without counts of a corpus."""
+    import re
+    from collections import Counter
+
+    true, found, both = Counter(), Counter(), Counter()
+    for line in HELD_OUT.strip().splitlines():
+        wanted, text, last = set(), "", 0
+        for m in re.finditer(r"\[\[(\w+):(.*?)\]\]", line):
+            text += line[last : m.start()]
+            wanted.add((m.group(1), len(text)))
+            text, last = text + m.group(2), m.end()
+        text += line[last:]
+        got = {(kind, start) for kind, start, _ in personal.find_spans(personal.plain_signs([text])[0])}
+        true.update(k for k, _ in wanted), found.update(k for k, _ in got), both.update(k for k, _ in wanted & got)
+    for kind in personal.KINDS:
+        recall, precision = both[kind] / true[kind], both[kind] / found[kind]
+        print(f"{kind}: {true[kind]} true, recall {recall:.3f}, precision {precision:.3f}")
+        assert recall >= 0.9 and precision >= 0.9, kind
+
+
+def test_counts_of_the_corpus_decide(spark):
+    """高压 and 安全措施 are words where a corpus uses them as such; rare given names are learnt from names behind labels."""
+    texts = [f"检查高压设备{i}，落实安全措施。再查高压柜。联系人：{f}{g}，已到。" for i, (f, g) in enumerate([("钱", "翀"), ("孙", "翀"), ("李", "彧"), ("周", "彧")] * 20)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "高压。安全措施。", "此事交高翀办理。", None, ""])], "doc_id long, text string")
+    found = personal.personal_items(df, "doc_id", "text").where("doc_id >= 80").collect()
+    assert [(r.doc_id, r.kind, r.start_pos) for r in found] == [(81, "person", 3)]
+    labelled = personal.personal_items(df, "doc_id", "text").where("kind = 'person' AND doc_id < 80")
+    assert labelled.count() == 80
