@@ -3,11 +3,12 @@
 A Gaussian (2-stable) projection of a difference of length d has squared length d^2 times
 a chi-square variable.  Each of a few trees has its own projection to a few dimensions and
 a kd-tree over it whose split planes are fitted on a bounded sample; the leaves of the trees deal
-the rows to tasks.  A row is put into those trees in whose leaf it lies deepest: there the
+the rows to tasks.  A leaf that gets too many rows is split further, by planes fitted on a bounded sample of
+its own rows, as often as it takes: leaves do not grow with the table.  A row is put into those trees in whose leaf it lies deepest: there the
 normal distribution of projected differences makes it most likely that its neighbours fall on the
 same side of all planes, and close rows prefer the same trees.  Within a leaf a finer kd-tree
-gives a row's projected neighbours bucket by bucket; they are verified by exact cosines until
-the next bucket's projected distance fails the chi-square test against the distance of the k-th best.
+gives the projected neighbours in waves of buckets, the nearest first; every vector goes on, by itself, until the
+projected distance of each bucket left fails the chi-square test against the distance of its k-th best so far.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscle.llm.format_copies import collapse_copies, join_groups
-from corpuscle.session import shared_table
+from corpuscle.session import shared_table, sized_broadcast
 
 
+#: Levels that one round adds to a leaf of too many rows, sampled rows for each part, and how many rows are too many (times ``leaf_rows``).
+MORE_LEVELS, PART_SAMPLE, OVERFULL = 7, 32, 2
+#: Rounds at most: beyond them a leaf holds nothing but equal directions, which no plane parts.
+ROUNDS = 6
+#: Buckets that a wave of the search verifies.
+WAVE = 6
 #: How far apart single precision may put two equal cosines; about how many candidates are ranked exactly at once.
 TIED, EXACT_PAIRS = 4e-6, 50_000
 
@@ -88,18 +95,24 @@ def fit_forest(sample: np.ndarray, rows: int, spec: ForestSpec) -> Forest:
     nodes = 2**depth - 1
     split_dim, split_at = np.zeros((spec.trees, max(1, nodes)), np.int64), np.zeros((spec.trees, max(1, nodes)), np.float32)
     for t in range(spec.trees):
-        at = sample @ projections[t]
-        node = np.zeros(len(sample), np.int64)
-        for level in range(depth):
-            for here in range(2**level - 1, 2 ** (level + 1) - 1):
-                own = at[node == here]
-                if len(own):
-                    split_dim[t, here] = dim = int(np.argmax(own.var(axis=0)))
-                    split_at[t, here] = np.median(own[:, dim])
-            node = 2 * node + 1 + (at[np.arange(len(at)), split_dim[t, node]] > split_at[t, node])
+        split_dim[t, :nodes], split_at[t, :nodes] = fit_planes(sample @ projections[t], depth)
     return Forest(spec, projections, split_dim, split_at, depth)
 
 
+def fit_planes(at: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Dimension and place of the planes of a kd-tree of a depth, by node: medians of the widest dimension."""
+    split_dim, split_at = np.zeros(2**depth - 1, np.int64), np.zeros(2**depth - 1, np.float32)
+    node = np.zeros(len(at), np.int64)
+    for level in range(depth):
+        for here in range(2**level - 1, 2 ** (level + 1) - 1):
+            own = at[node == here]
+            if len(own):
+                split_dim[here] = dim = int(np.argmax(own.var(axis=0)))
+                split_at[here] = np.median(own[:, dim])
+        node = 2 * node + 1 + (at[np.arange(len(at)), split_dim[node]] > split_at[node])
+    return split_dim, split_at
+
+
 def chi_square(confidence: float, dims: int) -> float:
     """Quantile of the chi-square distribution (Wilson-Hilferty)."""
     z, spread = NormalDist().inv_cdf(confidence), 2 / (9 * dims)
@@ -134,18 +147,26 @@ def nearest(rows: np.ndarray, unit: np.ndarray, projection: np.ndarray, k: int,
         for d in range(points.shape[1]):
             gap = np.maximum(low[:, d] - points[:, d, None], points[:, d, None] - high[:, d])
             away += np.square(np.maximum(gap, 0))
+        # Waves of buckets, nearest first. A vector takes part in a wave if the test lets it visit one of its buckets.
         order = np.argsort(away.min(axis=0), kind="stable")
-        first = order[:4]
-        cand = np.concatenate([buckets[b] for b in first])
-        cos = single[own] @ single[cand].T
-        cos[own[:, None] == cand] = -2
-        kth = np.partition(cos, -k, axis=1)[:, -k] if len(cand) > k else np.full(len(own), -2, np.float32)
-        # The test: a bucket whose projected distance is beyond the quantile of the k-th distance is not visited.
-        pending = (away <= test * np.maximum(2 - 2 * kth, 1e-6)[:, None]).any(axis=0)
-        pending[first] = False
-        if pending.any():
-            more = np.concatenate([buckets[b] for b in np.flatnonzero(pending)])
-            cand, cos = np.concatenate([cand, more]), np.concatenate([cos, single[own] @ single[more].T], axis=1)
+        pieces, found = [], []
+        best = np.full((len(own), k), -2, np.float32)
+        for begin in range(0, len(order), WAVE):
+            reach = test * np.maximum(2 - 2 * best[:, 0], 1e-6)
+            asking = np.flatnonzero((away[:, order[begin : begin + WAVE]] <= reach[:, None]).any(axis=1)) if begin else np.arange(len(own))
+            if not len(asking):
+                if not (away[:, order[begin:]] <= reach[:, None]).any():
+                    break
+                continue
+            cand = np.concatenate([buckets[b] for b in order[begin : begin + WAVE]])
+            part = np.full((len(own), len(cand)), -2, np.float32)
+            cos = single[own[asking]] @ single[cand].T
+            cos[own[asking][:, None] == cand] = -2
+            part[asking] = cos
+            pieces.append(cand)
+            found.append(part)
+            best[asking] = np.sort(np.partition(np.concatenate([best[asking], cos], axis=1), -k, axis=1)[:, -k:], axis=1)
+        cand, cos = np.concatenate(pieces), np.concatenate(found, axis=1)
         # Every candidate that single precision can't tell from the k-th best goes on, however many those are.
         least = np.partition(cos, -k, axis=1)[:, -k] - TIED if len(cand) > k else np.full(len(own), -np.inf, np.float32)
         within = (cos >= least[:, None]).sum(axis=1)
@@ -186,16 +207,89 @@ def _assign(forest: Forest, width: int):
             if batch.num_rows:
                 leaves = forest.leaves(_unit(_matrix(batch.column(1), width)).astype(np.float32))
                 offsets = np.arange(len(leaves) + 1, dtype=np.int32) * leaves.shape[1]
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaves.ravel().astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaves.ravel()))
                 yield pa.record_batch([batch.column(0), batch.column(1), lists], names=["row", "vector", "leaves"])
 
     return assign
 
 
-def _search(forest: Forest, width: int, k: int):
+def _projected(forest: Forest, leaf: np.ndarray, shift: int, vectors: np.ndarray) -> np.ndarray:
+    """Each vector in the projection of its leaf's tree."""
+    unit, tree = _unit(vectors).astype(np.float32), leaf >> shift
+    at = np.empty((len(unit), forest.spec.dims), np.float32)
+    for t in np.unique(tree):
+        at[tree == t] = unit[tree == t] @ forest.projections[t]
+    return at
+
+
+def _fit_leaf(forest: Forest, width: int, shift: int):
+    """Task function over the sampled rows of one overfull leaf: its planes, as one row."""
+
+    def fit(group: pa.Table) -> pa.Table:
+        leaf, depth = group.column("leaf").to_numpy(), group.column("levels")[0].as_py()
+        dims, places = fit_planes(_projected(forest, leaf, shift, _matrix(group.column("vector"), width)), depth)
+        columns = [pa.array(leaf[:1]), pa.array([depth], pa.int32()), pa.array([dims.astype(np.int32)], pa.list_(pa.int32())), pa.array([places], pa.list_(pa.float32()))]
+        return pa.table(columns, names=["leaf", "levels", "dims", "places"])
+
+    return fit
+
+
+def _number_parts(forest: Forest, width: int, shift: int):
+    """Task function over (row, vector, leaf, levels, dims, places): rows with the number of their part of the leaf."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf, levels = batch.column("leaf").to_numpy(), batch.column("levels").fill_null(0).to_numpy()
+            part = np.zeros(len(leaf), np.int64)
+            own = np.flatnonzero(levels)
+            if len(own):
+                taken, depth = batch.take(pa.array(own)), levels[own].astype(np.int64)
+                at = _projected(forest, leaf[own], shift, _matrix(taken.column("vector"), width))
+                first = np.cumsum(2**depth - 1) - (2**depth - 1)
+                dims, places = taken.column("dims").flatten().to_numpy(), taken.column("places").flatten().to_numpy()
+                node = np.zeros(len(own), np.int64)
+                for level in range(int(depth.max())):
+                    live = np.flatnonzero(depth > level)
+                    here = first[live] + node[live]
+                    node[live] = 2 * node[live] + 1 + (at[live, dims[here]] > places[here])
+                part[own] = node - (2**depth - 1)
+            yield pa.record_batch([batch.column("row"), batch.column("vector"), pa.array((leaf << MORE_LEVELS) | part)], names=["row", "vector", "leaf"])
+
+    return number
+
+
+def split_overfull(leaves: DataFrame, forest: Forest, width: int) -> tuple[DataFrame, int]:
+    """(row, vector, leaf) in which no leaf has over OVERFULL * ``leaf_rows`` rows, and how many bits follow the tree in a leaf's number.
+
+    Each round counts the rows of all leaves, fits up to MORE_LEVELS levels of planes on PART_SAMPLE rows
+    for each part of an overfull leaf (one small group a leaf), joins them to the leaf's rows and
+    numbers the parts.  Only equal directions stay together however many they are.
+    """
+    spec, shift = forest.spec, forest.depth
+    for _ in range(ROUNDS):
+        counts = leaves.groupBy("leaf").agg(F.count("*").alias("n"))
+        levels = F.least(F.lit(MORE_LEVELS), F.ceil(F.log2(F.col("n") / spec.leaf_rows))).cast("int")
+        overfull = shared_table(counts.where(F.col("n") > OVERFULL * spec.leaf_rows).withColumn("levels", levels))
+        if not overfull.limit(1).count():
+            break
+        known = sized_broadcast(overfull)
+        share = PART_SAMPLE * F.pow(F.lit(2.0), "levels") / F.col("n")
+        sampled = leaves.join(known, "leaf").where(F.pmod(F.xxhash64("row", "leaf", F.lit(spec.seed)), F.lit(1 << 20)) < share * (1 << 20))
+
+        planes = shared_table(sampled.groupBy("leaf").applyInArrow(_fit_leaf(forest, width, shift), "leaf long, levels int, dims array<int>, places array<float>"))
+
+        leaves = leaves.join(sized_broadcast(planes), "leaf", "left").select("row", "vector", "leaf", "levels", "dims", "places").mapInArrow(_number_parts(forest, width, shift), "row long, vector array<float>, leaf long")
+        leaves = shared_table(leaves)
+        shift += MORE_LEVELS
+    return leaves, shift
+
+
+def _search(forest: Forest, width: int, k: int, shift: int):
     def search(leaf: pa.Table) -> pa.Table:
         rows, unit = leaf.column("row").to_numpy(), _unit(_matrix(leaf.column("vector"), width))
-        tree = leaf.column("leaf")[0].as_py() >> forest.depth
+        tree = leaf.column("leaf")[0].as_py() >> shift
         ids, cos = nearest(rows, unit, forest.projections[tree], k, forest.spec)
         there = ~np.isnan(cos)
         offsets = pa.array(np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32))
@@ -231,9 +325,9 @@ def nearest_vectors(df: DataFrame, row: str, vector: str, width: int, k: int = 5
     chosen = F.pmod(F.xxhash64("row", F.lit(spec.seed)), F.lit(max(1, total))) < spec.sample_rows
     sample = indexed.where(chosen).select("vector").toArrow()
     forest = fit_forest(_unit(_matrix(sample.column(0), width)).astype(np.float32) if sample.num_rows else np.zeros((0, width), np.float32), total, spec)
-    placed = indexed.mapInArrow(_assign(forest, width), "row long, vector array<float>, leaves array<int>")
-    leaves = placed.select("row", "vector", F.explode("leaves").alias("leaf"))
-    found = leaves.groupBy("leaf").applyInArrow(_search(forest, width, k), "row long, loss array<long>, near array<long>")
+    placed = indexed.mapInArrow(_assign(forest, width), "row long, vector array<float>, leaves array<long>")
+    leaves, shift = split_overfull(placed.select("row", "vector", F.explode("leaves").alias("leaf")), forest, width)
+    found = leaves.groupBy("leaf").applyInArrow(_search(forest, width, k, shift), "row long, loss array<long>, near array<long>")
     merged = found.groupBy("row").agg(F.flatten(F.collect_list(F.arrays_zip("loss", "near"))).alias("all"))
     lists = merged.select("row", F.slice(F.array_sort(F.array_distinct("all")), 1, k).alias("hits"))
     if has_extra:
