@@ -10,8 +10,10 @@ as soon as they exceed the budget of its depth.  21 tries with other upper level
 similar texts 21 chances to share a whole upper path.
 
 Spark deals the tries' upper paths to tasks (equal path, same task), so the joint
-traversal starts there; a path that very many texts share is cut into blocks, and each
-pair of blocks is a unit of work of its own.
+traversal starts there.  A path that very many texts share is made longer: its texts go down DEEPER
+further minimum hashes, again with a budget of zero, and meet in the longer paths; pairs below
+the threshold part there.  What is still crowded after ROUNDS of that are texts similar to each other, whose
+pairs are the result; such a path is cut into blocks, and each pair of blocks is a unit of work of its own.
 """
 
 from __future__ import annotations
@@ -32,8 +34,12 @@ HASHES = 64
 PREFIX = 3
 TRIES = HASHES // PREFIX
 BITS = 2 * HASHES
-#: Texts that share one upper path and are joined in one piece; beyond, the path is cut into blocks.
+#: Texts that share one upper path and are joined in one piece; beyond, the path is made longer, and cut into blocks at last.
 PATH_TEXTS = 4096
+#: Longer paths that every text of a crowded path goes down (a similar pair misses all of them once in 0.4 ** 8, 1 in 1,500), and how often at most.
+DEEPER, ROUNDS = 8, 4
+#: Copies of one text that one task puts into pairs; more are dealt to several.
+TASK_COPIES = 20_000
 #: Node pairs with at most this many text pairs are finished by comparing whole signatures.
 LEAF_PAIRS = 64
 _SLICE = 1 << 18
@@ -45,12 +51,12 @@ _PAD = "\U0010ffff"
 
 
 def bit_budgets(similarity: float) -> np.ndarray:
-    """Most bits that may differ down to each depth: the mean for ``similarity`` and three deviations."""
+    """Most bits that may differ down to each depth: the mean for ``similarity`` and three and a half deviations."""
     depth = np.arange(BITS + 1)
     miss = (1 - similarity) / 2
     # Two bits of a hash differ together: the variance for each hash is that of 0, 1 or 2 bits.
     spread = (1 - similarity) * 1.5 - (1 - similarity) ** 2
-    return np.floor(miss * depth + 3 * np.sqrt(spread * depth / 2) + 1).astype(np.int32)
+    return np.floor(miss * depth + 3.5 * np.sqrt(spread * depth / 2) + 1).astype(np.int32)
 
 
 def _signatures(texts: list[str]) -> np.ndarray:
@@ -128,8 +134,11 @@ def _traverse(tails: np.ndarray, roots: np.ndarray, budgets: np.ndarray) -> tupl
         keep = (i < j) | (pairs[at, 0] != pairs[at, 2])
         i, j = i[keep], j[keep]
         near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= budgets[BITS]
-        found_i.append(i[near])
-        found_j.append(j[near])
+        i, j = i[near], j[near]
+        # The same rule as on the way down: no depth's budget exceeded, however early a pair is finished.
+        kept = (np.cumsum(np.unpackbits(tails[i] ^ tails[j], axis=1), axis=1, dtype=np.int16) <= budgets[1:]).all(axis=1)
+        found_i.append(i[kept])
+        found_j.append(j[kept])
 
     frontier = np.column_stack([roots, np.zeros(len(roots), np.int64)]).astype(np.int64)
     for depth in range(BITS):
@@ -197,13 +206,28 @@ def _join_tries(budgets: np.ndarray):
     return join
 
 
+def _parted(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of the paths that one task can join, as units of work, and the other paths with their number of texts."""
+    hot = sized_broadcast(shared_table(placed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PATH_TEXTS)))
+    return placed.join(hot.select("path"), "path", "left_anti").select("path", F.lit(0).cast("byte").alias("side"), "kind", "row", "tail"), hot
+
+
 def trie_candidates(classes: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (level, a, b) of classes (level, row, hashes, tail) whose signatures meet in a trie."""
     paths = F.array(*(F.xxhash64("level", F.lit(t), F.expr(f"substring(hashes, {4 * PREFIX * t + 1}, {4 * PREFIX})")) for t in range(TRIES)))
     kind = F.xxhash64("level")
-    placed = classes.select(kind.alias("kind"), "row", "tail", F.explode(paths).alias("path"))
-    hot = sized_broadcast(placed.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > PATH_TEXTS))
-    single = placed.join(hot.select("path"), "path", "left_anti").select("path", F.lit(0).cast("byte").alias("side"), "kind", "row", "tail")
+    placed = classes.select(kind.alias("kind"), "row", "tail", "hashes", F.posexplode(paths).alias("trie", "path"))
+    single, hot = _parted(placed)
+    for level in range(ROUNDS):
+        if hot.limit(1).count() == 0:
+            break
+        # Hashes behind those that the path spells, in another order for every trie.
+        next_hash = [F.pmod(PREFIX * (F.col("trie") + 1) + level * DEEPER + j, F.lit(HASHES)) for j in range(DEEPER)]
+        longer = F.array(*(F.xxhash64("path", h, F.substring(F.col("hashes"), 4 * h + 1, F.lit(4))) for h in next_hash))
+        deeper = shared_table(placed.join(hot.select("path"), "path", "left_semi").select("kind", "row", "tail", "hashes", "trie", F.explode(longer).alias("path")))
+        placed = deeper
+        more, hot = _parted(placed)
+        single = single.unionByName(more)
     # A hot path: block x block pairs; a row goes to the pairs of its block with every block.
     blocks = F.ceil(F.col("n") * 2 / PATH_TEXTS).cast("int")
     cut = placed.join(hot, "path").withColumns({"block": F.pmod(F.xxhash64("row"), blocks), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
@@ -251,9 +275,18 @@ def similar_classes(texts: DataFrame, signed: DataFrame, similarity: float) -> D
 
 
 def members(signed: DataFrame) -> DataFrame:
-    """(level, row, class_row): every row with text, and the first row of its class of exact copies."""
+    """(level, row, class_row, n_copies): every row with text, the first row of its class of exact copies, and the class's size."""
     groups = collapse_copies(signed).withColumnRenamed("first_row", "class_row")
-    return join_groups(signed.select("level", "row", "h", "check"), groups, signed.count()).select("level", "row", "class_row")
+    return join_groups(signed.select("level", "row", "h", "check"), groups, signed.count()).select("level", "row", "class_row", "n_copies")
+
+
+def _with_copies(pairs: DataFrame, rows: DataFrame, crowded: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with each row of the class in column ``side``; the rows of a crowded class are dealt to several keys, and its pairs to all of them."""
+    parts = F.coalesce("parts", F.lit(1))
+    spread = pairs.join(crowded.withColumnRenamed("class_row", side), ["level", side], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    dealt = F.pmod(F.xxhash64("row"), F.ceil(F.col("n_copies") / TASK_COPIES)).cast("int")
+    own = rows.select("level", F.col("class_row").alias(side), F.col("row").alias(f"row_of_{side}"), dealt.alias("part"))
+    return spread.join(own, ["level", side, "part"]).drop("part")
 
 
 def similar_pairs(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -262,14 +295,16 @@ def similar_pairs(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     ``texts`` has level, row (unique within its level) and text; similarity is that of the
     sets of five-character substrings of the reduced texts.  Null, blank and mark-only texts take no
     part, rows with equal reduced texts are no pair.  The join runs on one row for each
-    distinct text; its copies are put in only at the end.  An empty table gives no pairs.
+    distinct text; its copies are put in only at the end, those of a crowded class by several tasks.  An empty table gives no pairs.
     """
     signed = signatures(texts)
     pairs = similar_classes(texts, signed, similarity)
     rows = members(signed)
-    left = pairs.join(rows.select("level", F.col("class_row").alias("a"), F.col("row").alias("x")), ["level", "a"])
-    both = left.join(rows.select("level", F.col("class_row").alias("b"), F.col("row").alias("y")), ["level", "b"])
-    return both.select("level", F.least("x", "y").alias("row_a"), F.greatest("x", "y").alias("row_b"))
+    parts = F.ceil(F.col("n_copies") / TASK_COPIES).cast("int")
+    classes = signed.groupBy("level", "h", "check").agg(F.min("row").alias("class_row"), F.count("*").alias("n_copies"))
+    crowded = sized_broadcast(classes.where(F.col("n_copies") > TASK_COPIES).select("level", "class_row", parts.alias("parts")))
+    both = _with_copies(_with_copies(pairs, rows, crowded, "a"), rows, crowded, "b")
+    return both.select("level", F.least("row_of_a", "row_of_b").alias("row_a"), F.greatest("row_of_a", "row_of_b").alias("row_b"))
 
 
 def similar_groups(texts: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -92,7 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # Reduced texts character by character, apart from the expressions that the operators use.
 _REDUCED = r"""
 texts AS (SELECT level, chunk_row, text, list_filter(list_transform(regexp_split_to_array(text, '[；;\n]'),
-              lambda x: regexp_replace(x, '^[\s\pZ\x{{1C}}-\x{{1F}}\x{{85}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]+|[\s\pZ\x{{1C}}-\x{{1F}}\x{{85}}\x{{200B}}-\x{{200D}}\x{{FEFF}}]+$', '', 'g')), lambda x: x <> '') AS items
+              lambda x: regexp_replace(x, '^[\s\x0B\pZ\x{{1C}}-\x{{1F}}\x{{85}}]+|[\s\x0B\pZ\x{{1C}}-\x{{1F}}\x{{85}}]+$', '', 'g')), lambda x: x <> '') AS items
           FROM given WHERE text IS NOT NULL),
 parts AS (SELECT level, chunk_row, CASE WHEN len(items) >= 3 AND len(list_filter(items, lambda x: NOT regexp_full_match(x, '[^：:]{{1,12}}[：:][^：:]+'))) = 0
               THEN items ELSE [text] END AS parts FROM texts),

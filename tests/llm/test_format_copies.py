@@ -19,7 +19,7 @@ def plain(text):
 
 
 def reduced(text):
-    items = [x for x in (re.sub("^[\\s​-‍﻿]+|[\\s​-‍﻿]+$", "", p) for p in re.split("[；;\n]", text)) if x]
+    items = [x for x in (p.strip() for p in re.split("[；;\n]", text)) if x]
     if len(items) >= 3 and all(re.fullmatch("[^：:]{1,12}[：:][^：:]+", x) for x in items):
         return "".join(sorted(map(plain, items)))
     return plain(text)
