@@ -15,18 +15,18 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Marks that end a sentence, and closing marks that belong to them.
-_ENDS = "。！？；!?;…"
-_CLOSERS = "」』”’）)》〉】〕｝\"'\\]}"
-_STRETCH = re.compile(rf"[^\r\n{_ENDS}]*[{_ENDS}][{_ENDS}{_CLOSERS}]*|[^\r\n{_ENDS}]+")
+from corpuscle.functions.text import CLOSERS, ENDS, HEADING, HEADING_CHARS
+
+_STRETCH = re.compile(rf"[^\r\n{ENDS}]*[{ENDS}][{ENDS}{CLOSERS}]*|[^\r\n{ENDS}]+")
 _SOFT = re.compile(r"[，,、）)|/\s]+")
-_HEADING = re.compile(r"(?:#{1,6}\s*\S|第[一二三四五六七八九十百零\d]+[章节篇部]|\d+(?:\.\d+){0,3}[、.\s]\s*\S)")
-_HEADING_CHARS = 60
+_HEADING = re.compile(HEADING)
 
 SIZE, OVERLAP = 512, 64
+#: Whitespace as Python's ``isspace`` has it.
+BLANK = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
 def stretches(text: str) -> list[tuple[int, int, bool]]:
@@ -56,11 +56,20 @@ def _choose(marks: list[int], low: int, high: int, target: float, reach: float,
     return min((i for i in (at - 1, at) if first <= i < last), key=lambda i: abs(marks[i] - target))
 
 
+def _least(starts: list[int], ends: list[int], size: int) -> int:
+    """The least number of pieces of at most ``size``: each takes as many stretches as fit."""
+    count, i = 0, 0
+    while i < len(starts):
+        i = max(i + 1, bisect_right(ends, starts[i] + size))
+        count += 1
+    return count
+
+
 def _balance(spans: list[tuple[int, int, bool]], size: int) -> list[tuple[int, int]]:
     """Pieces (start, end) of at most ``size`` over stretches of at most ``size``."""
     starts, ends = [s for s, _, _ in spans], [e for _, e, _ in spans]
     whole = ends[-1] - starts[0]
-    count = -(-whole // size)
+    count = _least(starts, ends, size)
     while count < len(spans):
         pieces, i = [], 0
         for k in range(1, count):
@@ -72,7 +81,7 @@ def _balance(spans: list[tuple[int, int, bool]], size: int) -> list[tuple[int, i
             i = j + 1
         if ends[-1] - starts[i] <= size:
             return [*pieces, (starts[i], ends[-1])]
-        count += max(1, count // 16)
+        count += 1
     return [(s, e) for s, e, _ in spans]
 
 
@@ -96,7 +105,7 @@ def _sections(text: str, spans: list[tuple[int, int, bool]]) -> Iterator[tuple[s
     name, own, new_line = "", [], True
     for span in spans:
         start, end, ends_line = span
-        if new_line and ends_line and end - start <= _HEADING_CHARS and text[end - 1] not in _ENDS and _HEADING.match(text, start, end):
+        if new_line and ends_line and end - start <= HEADING_CHARS and text[end - 1] not in ENDS and _HEADING.match(text, start, end):
             if own:
                 yield name, own
             name, own = text[start:end], []
@@ -180,3 +189,21 @@ def split_texts(df: DataFrame, doc: str, text: str, size: int = SIZE, overlap: i
 def oversized_stretches(pieces: DataFrame, doc: str) -> DataFrame:
     """(doc, start_pos): each stretch that had to be cut inside, once."""
     return pieces.where("stretch_pos IS NOT NULL").select(doc, F.col("stretch_pos").alias("start_pos")).distinct()
+
+
+def checked_pieces(pieces: DataFrame, texts: DataFrame, doc: str, text: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(doc, n_kept, n_wrong): what holds for the pieces of each row, to be compared with the texts themselves.
+
+    ``n_kept`` is the number of characters other than blanks that the pieces hold, overlaps counted once; ``n_wrong`` that
+    of pieces over the size, with a text other than that of their place, with too much overlap, or out of order.
+    ``doc`` must be unique; rows without pieces count 0 and 0.
+    """
+    order = Window.partitionBy(doc).orderBy("piece_no")
+    before = F.coalesce(F.lag("end_pos").over(order), F.lit(0))
+    same = F.col("text") == F.substring(F.col("whole"), F.col("start_pos").cast("int") + 1, F.length("text"))
+    placed = pieces.join(texts.select(doc, F.col(text).alias("whole")), doc).withColumn("before", before)
+    good = same & (F.length("text") == F.col("end_pos") - F.col("start_pos")) & (F.length("text") <= size) & (F.col("before") - F.col("start_pos") <= overlap) & (F.col("end_pos") > F.col("before"))
+    new = F.substring("text", F.greatest(F.lit(0), F.col("before") - F.col("start_pos")).cast("int") + 1, F.length("text"))
+    each = placed.groupBy(doc).agg(F.sum(F.length(F.regexp_replace(new, BLANK, ""))).alias("n_kept"), F.count_if(~good).alias("n_wrong"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return texts.select(doc).join(each, doc, "left").select(doc, zero("n_kept"), zero("n_wrong"))

@@ -59,6 +59,15 @@ def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.split_texts(table(spark, folder, "kb_docs"), "doc_row", "text")
 
 
+def p5_checked(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "kb_docs")
+    return pieces.checked_pieces(pieces.split_texts(docs, "doc_row", "text"), docs, "doc_row", "text")
+
+
+def p6_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.decode_corpus(p6_ids(spark, folder), "doc_id", "ids")
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -86,7 +95,11 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p2_found": p2_found, "p2_records": p2_records, "p3_found": p3_found, "p3_groups": p3_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_ids": p6_ids, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_redacted": p8_redacted}
+    every = (
+        p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_groups, p5_found, p5_pieces, p5_checked,
+        p6_ids, p6_decoded, p7_mixture, p7_shares, p8_found, p8_redacted,
+    )
+    return {query.__name__: query for query in every}
 
 
 # Reduced texts character by character, apart from the expressions that the operators use.
@@ -126,6 +139,16 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"{units} SELECT DISTINCT least(q, o) AS row_a, greatest(q, o) AS row_b FROM best",
         "p1_neighbours": f"{units} SELECT q AS chunk_row, o AS near_row, s AS cosine FROM best",
         "p3_found": f"{rules} SELECT x.level, least(x.chunk_row, y.chunk_row) AS row_a, greatest(x.chunk_row, y.chunk_row) AS row_b FROM near JOIN members x ON x.c = a JOIN members y ON y.c = b",
+        "p3_groups": f"""{rules.replace("WITH given", "WITH RECURSIVE given", 1)},
+          firsts AS (SELECT level, c, min(chunk_row) AS class_row FROM members GROUP BY ALL),
+          links AS MATERIALIZED (SELECT a AS x, b AS y FROM near UNION ALL SELECT b, a FROM near),
+          reach AS (SELECT x AS s, y AS t FROM links UNION SELECT s, y FROM reach JOIN links ON t = x),
+          groups AS (SELECT s AS c, min(class_row) AS group_row FROM reach JOIN firsts ON firsts.c = t GROUP BY s),
+          degrees AS (SELECT x AS c, count(*) AS n FROM links GROUP BY x)
+          SELECT m.level, m.chunk_row AS "row", class_row, coalesce(group_row, class_row) AS group_row, CAST(coalesce(n, 0) AS BIGINT) AS n_links
+          FROM members m JOIN firsts USING (level, c) LEFT JOIN groups USING (c) LEFT JOIN degrees USING (c)""",
+        "p5_checked": f"SELECT doc_row, CAST(coalesce(length(regexp_replace(text, '{blank}+', '', 'g')), 0) AS BIGINT) AS n_kept, CAST(0 AS BIGINT) AS n_wrong FROM kb_docs",
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p5_found": f"""WITH cut AS (SELECT doc_row, regexp_extract_all(text, '[^\\r\\n。！？；!?;…]*[。！？；!?;…][。！？；!?;…」』”’）)》〉】〕｝"''\\]}}]*|[^\\r\\n。！？；!?;…]+|[\\r\\n]') AS s FROM kb_docs),
           placed AS (SELECT doc_row, unnest(s) AS t, unnest(list_transform(range(len(s)), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: length(x))), 0))) AS pos FROM cut)
           SELECT doc_row, CAST(pos + length(t) - length(regexp_replace(t, '^{blank}+', '')) AS BIGINT) AS start_pos FROM placed WHERE length(regexp_replace(t, '^{blank}+|{blank}+$', '', 'g')) > 512""",

@@ -185,10 +185,13 @@ def token_bytes(spark, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULAR
 def decode_corpus(encoded: DataFrame, doc: str, ids: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc, text): the texts that token ids stand for, by a join with the token-byte table.
 
-    A null or empty list gives ``""``; unknown ids are skipped.  ``doc`` must be unique.
+    A null or empty list gives ``""``; an id that the vocabulary does not have raises an error.  Every row
+    is kept, also with a null or repeated doc: rows are numbered as they were written.
     """
     table = F.broadcast(token_bytes(encoded.sparkSession, tokenizers, vocabulary))
-    marks = encoded.select(F.col(doc).alias("doc"), F.posexplode_outer(ids).alias("pos", "id"))
-    parts = marks.join(table, "id", "left").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", F.hex("bytes").alias("b")))).alias("parts"))
+    written = shared_table(encoded.select(F.col(doc).alias("doc"), F.col(ids).alias("ids"))).withColumn("at", F.monotonically_increasing_id())
+    marks = written.select("at", "doc", F.posexplode_outer("ids").alias("pos", "id"))
+    known = F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string")))).otherwise(F.hex("bytes"))
+    parts = marks.join(table, "id", "left").groupBy("at", "doc").agg(F.array_sort(F.collect_list(F.struct("pos", known.alias("b")))).alias("parts"))
     joined = F.concat_ws("", F.transform("parts", lambda p: p["b"]))
     return parts.select(F.col("doc").alias(doc), F.decode(F.unhex(joined), "UTF-8").alias("text"))

@@ -44,6 +44,35 @@ def test_shares_repeats_and_shortage(spark):
     assert max(small) - min(small) <= 1 and 2001 not in uses and 2003 not in uses
 
 
+def test_cycles_go_on_within_one_block(spark, monkeypatch):
+    """Blocks of bounded size: many cycles, each block of a source filled, and every source less than one block from its share after every slot."""
+    monkeypatch.setattr(mx, "CYCLE", 16)
+    monkeypatch.setattr(mx, "LEAST_BLOCK", 100)
+    monkeypatch.setattr(mx, "BLOCK_TOKENS", 100)
+    monkeypatch.setattr(mx, "PART_TOKENS", 1000)
+    texts = [(i, "abc"[i % 3], 10) for i in range(2400)]
+    out, _ = mixed(spark, texts, [("a", 0.5, 3), ("b", 0.3, 3), ("c", 0.2, 3)])
+    rows = sorted((r.slot, r.source, r.n_tokens, r.start_token) for r in out.collect())
+    owner = {}
+    for slot, source, _, _ in rows:
+        assert owner.setdefault(slot, source) == source
+    n = max(owner) + 1
+    assert n == 240 and len(owner) == n and sum(r[2] for r in rows) == 24_000
+    total = {s: list(owner.values()).count(s) for s in "abc"}
+    seen = dict.fromkeys("abc", 0)
+    for slot in range(n):
+        seen[owner[slot]] += 1
+        assert all(abs(seen[s] - (slot + 1) * total[s] / n) < 1 for s in "abc")
+    sequence = {s: [r[3] for r in rows if r[1] == s] for s in "abc"}
+    assert all(x == sorted(x) and len(x) == len(set(x)) for x in sequence.values())
+
+
+def test_too_many_sources_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mx, "SOURCES", 1)
+    with pytest.raises(ValueError, match="more than 1 sources"):
+        mixed(spark, [(1, "a", 5)], [("a", 0.5, 1), ("b", 0.5, 1)])
+
+
 def test_no_texts_no_targets(spark):
     out, targets = mixed(spark, [], [("a", 1.0, 1)])
     assert out.count() == 0 and mx.shares(out, targets).first().share == 0.0
