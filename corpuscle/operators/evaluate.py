@@ -44,13 +44,16 @@ def macro(scores: DataFrame, *keys: str) -> DataFrame:
     return scores.groupBy("k", *keys).agg(F.count("*").alias("n"), *(F.round(F.avg(m), 6).alias(m) for m in METRICS))
 
 
-def score_negatives(listed: DataFrame, negatives: DataFrame, gold_rows: DataFrame, threshold: float) -> DataFrame:
+def score_negatives(listed: DataFrame, negatives: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
     """One row per query that should find nothing: top1_score, leak, above_threshold_rate, foreign_gold, n_returned.
 
-    ``foreign_gold``: its first row is a gold row of any other query.  Queries without results get zeros.
+    ``foreign_gold``: its first row is a gold row of another query that can be answered; gold (query_id, row) of the
+    query itself or of other negatives does not count.  Queries without results get zeros.
     """
     own = listed.join(negatives.select("query_id"), "query_id", "left_semi")
-    marked = own.join(gold_rows.select("row").distinct().withColumn("is_gold", F.lit(True)), "row", "left")
+    # A row is foreign to a query if it is gold of two queries, or of one that is not the query itself.
+    answered = gold.join(negatives.select("query_id"), "query_id", "left_anti").groupBy("row").agg(F.min("query_id").alias("one"), F.max("query_id").alias("other"))
+    marked = own.join(answered, "row", "left").withColumn("is_gold", (F.col("one") != F.col("query_id")) | (F.col("other") != F.col("query_id")))
     first = F.col("rank") == 0
     each = marked.groupBy("query_id").agg(
         F.max(F.when(first, F.col("score"))).alias("top1_score"), F.avg((F.col("score") >= threshold).cast("double")).alias("above"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuscle.session import checkpoint
+from corpuscle.session import checkpoint, shared_table, spread_join
 
 # Fixed value: full-width forms and the ideographic blank, for names of entities.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
@@ -29,13 +29,14 @@ def expand(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(query_id, head, relation, tail, hop): edges within ``hops`` steps of a query's seeds, each with its least hop.
 
     Edges are walked in both directions and keep their own.  Each step only walks on from
-    nodes that were not reached before, so cycles end by themselves.
+    nodes that were not reached before, so cycles end by themselves.  Edges of a hub are dealt to several tasks.
     """
     sides = undirected(edges.distinct())
     reached = seeds.select("query_id", "node").distinct()
     front, found = reached, None
     for hop in range(1, hops + 1):
-        step = front.join(sides, "node").select("query_id", "head", "relation", "tail", "other")
+        step = spread_join(sides, front, "node").select("query_id", "head", "relation", "tail", "other")
+        step = shared_table(step) if hop < hops else step  # read as facts and as the next front
         facts = step.select("query_id", "head", "relation", "tail", F.lit(hop).cast("long").alias("hop"))
         found = facts if found is None else found.unionByName(facts)
         if hop < hops:
@@ -58,7 +59,7 @@ def mentioning(nodes: DataFrame, mentions: DataFrame, chunks: DataFrame, limit:
     ``chunks`` are the visible ones, with chunk_id.  Ties go to the smaller chunk_id.
     """
     pairs = mentions.select("chunk_id", F.col("entity_id").alias("node")).distinct()
-    hits = nodes.select("query_id", "node").distinct().join(pairs, "node").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    hits = spread_join(pairs, nodes.select("query_id", "node").distinct(), "node").groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
     seen = hits.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi")
     order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
     return seen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).withColumn("rank", (F.col("rank") - 1).cast("long"))

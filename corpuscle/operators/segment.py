@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import HEADING, HEADING_CHARS, SENTENCE
+from corpuscle.functions.text import HEADING, HEADING_CHARS, SENTENCE, truncate_middle
 
 _SPAN, _HEAD = re.compile(SENTENCE), re.compile(HEADING)
 _SOFT = "，,、）) 　"  # fixed value: marks at which an oversized sentence may be cut
@@ -91,3 +91,27 @@ def chunk_documents(df: DataFrame, row: str, text: str, size: int = SIZE, overla
 
     texts = df.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     return texts.mapInArrow(cut, "row long, chunk_index long, start_pos long, end_pos long, section string, text string").withColumnRenamed("row", row)
+
+
+#: Characters of a document and of a chunk that a model for contexts sees, and of the context that is kept.
+DOCUMENT_VIEW, CHUNK_VIEW, CONTEXT_CHARS = 24_000, 4_000, 200
+
+
+def first_line(document: Column, chunk: Column) -> Column:
+    """The default model for contexts: the document's first line. Another one can be any expression or Arrow function of both columns."""
+    return F.when(F.length(chunk) > 0, F.substring_index(F.regexp_replace(document, "\r\n?", "\n"), "\n", 1))
+
+
+def with_context(chunks: DataFrame, documents: DataFrame, model: Callable[[Column, Column], Column] = first_line, enabled: bool = True) -> DataFrame:
+    """``chunks`` (doc_id, text, ...) with a ``context`` line from a model that sees the document (doc_id, whole) and the chunk.
+
+    A long document is seen by its head and tail, a long chunk by its head.  Contexts are trimmed and have at most CONTEXT_CHARS
+    characters.  Blank chunks, unknown documents and a model that gives nothing have the context ``""``; so has everything if not ``enabled``.
+    """
+    if not enabled:
+        return chunks.withColumn("context", F.lit(""))
+    view = truncate_middle(F.col("whole"), DOCUMENT_VIEW, 0.7, "\n…\n")
+    both = chunks.join(documents.select("doc_id", view.alias("_whole")), "doc_id", "left")
+    made = model(F.col("_whole"), F.substring(F.trim("text"), 1, CHUNK_VIEW))
+    plain = F.substring(F.regexp_replace(made, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""), 1, CONTEXT_CHARS)
+    return both.withColumn("context", F.coalesce(plain, F.lit(""))).drop("_whole")

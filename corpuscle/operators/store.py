@@ -27,9 +27,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], *newest_fi
     return existing.alias("e").join(new.select(*keys).alias("n"), same, "left_anti").unionByName(new)
 
 
-def replace_documents(existing: DataFrame, incoming: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Incoming documents take the place of all rows of the same documents, so shrunken ones leave nothing behind."""
-    return existing.join(incoming.select(doc).distinct(), doc, "left_anti").unionByName(incoming)
+def replace_documents(existing: DataFrame, incoming: DataFrame, doc: str = "doc_id", reloaded: DataFrame | None = None) -> DataFrame:
+    """Incoming documents take the place of all rows of the same documents, so shrunken ones leave nothing behind.
+
+    ``reloaded`` lists the documents that came (by ``doc``); one that became blank has no incoming rows and loses all of its old ones.
+    """
+    came = incoming if reloaded is None else reloaded
+    return existing.join(came.select(doc).distinct(), doc, "left_anti").unionByName(incoming)
 
 
 def delete_documents(existing: DataFrame, gone: DataFrame, doc: str = "doc_id") -> DataFrame:

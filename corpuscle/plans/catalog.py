@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuscle.plans import collection, graphs, intervals, logs, retrieval
+from corpuscle.plans import collection, graphs, intervals, logs, quality, retrieval, writing
 
-MODULES = [intervals, collection, retrieval, graphs, logs]
+MODULES = [intervals, collection, retrieval, graphs, logs, quality, writing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscle.functions import ids, text
 from corpuscle.functions.status import plain_status, visible
-from corpuscle.operators import segment, store
+from corpuscle.operators import graph, segment, store
 from corpuscle.sources.tables import table
 
 
@@ -38,7 +40,8 @@ def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_spans")).where("n_spans >= 0")
+    """A null text has no spans."""
+    return table(spark, folder, "documents").select("doc_id", F.coalesce(F.array_size(text.sentences(F.col("text"))), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,16 +86,15 @@ def doc_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
-    one = lambda name, df, value: df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("name"), "value")
-    chunks, entities = _chunks(spark, folder), table(spark, folder, "entities")
-    parts = [
-        one("chunks", chunks, F.count("*")), one("documents", chunks, F.count_distinct("doc_id")), one("visible", chunks, F.count_if(visible(F.col("status")))),
-        one("entities", entities, F.count("*")), one("labelled", entities, F.count("label")), one("mentions", table(spark, folder, "mentions").distinct(), F.count("*")),
+    """Numbers of the collection; each table is read once."""
+    mentions = table(spark, folder, "mentions").distinct()
+    sides = [
+        _chunks(spark, folder).agg(F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("documents"), F.count_if(visible(F.col("status"))).alias("visible")),
+        table(spark, folder, "entities").agg(F.count("*").alias("entities"), F.count("label").alias("labelled")),
+        mentions.agg(F.count("*").alias("mentions")), graph.linked_terms(mentions).agg(F.count("*").alias("relations")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = [side.unpivot([], side.columns, "name", "value") for side in sides]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def locate_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -215,10 +217,10 @@ ORACLES = {
       || h[18:20] || '-' || h[21:32] AS u FROM (SELECT *, sha1(unhex('a3f1c2d45b6e4f7a8c9d0e1f2a3b4c5d') || encode(doc_id || '::' || chunk_index)) AS h FROM chunks))""",
     "hash_states": "SELECT CASE WHEN content_hash IS NULL THEN 'missing' WHEN content_hash = sha1(text) THEN 'ok' ELSE 'stale' END AS state, count(*) AS n FROM chunks WHERE text IS NOT NULL GROUP BY ALL",
     "normalize_text": f"SELECT doc_row, length(n) AS n_chars, sha1(n) AS h FROM (SELECT doc_row, {_NORMAL} AS n FROM kb_docs)",
-    "sentence_counts": f"SELECT doc_id, len({_SPANS}) AS n_spans FROM documents WHERE text IS NOT NULL",
+    "sentence_counts": f"SELECT doc_id, coalesce(len({_SPANS}), 0) AS n_spans FROM documents",
     "sentence_spans": f"""SELECT doc_row, ord - 1 AS ord, sha1(span) AS h, regexp_matches(span, '^\\s*(?:第[一二三四五六七八九十百零0-9]+[章节篇部]|#{{1,6}}\\s*[^\\s]|[0-9]+(?:\\.[0-9]+){{0,3}}[、.\\s]\\s*[^\\s])') AND length(trim(span)) <= 60 AS heading
       FROM (SELECT doc_row, unnest(range(1, len(s) + 1)) AS ord, unnest(s) AS span FROM (SELECT doc_row, {_SPANS} AS s FROM kb_docs))""",
-    "doc_titles": f"""SELECT doc_row, coalesce(left(nullif(trim(regexp_extract(left(n, 2000), '(?m)^#{{1,6}}[ \\t]+([^\\n]+)$', 1)), ''), 120),
+    "doc_titles": f"""SELECT doc_row, coalesce(left(nullif(trim(regexp_extract(left(n, 2000), '(?m)^[ ]{{0,3}}#{{1,6}}[ \\t]+([^\\n]+?)[ \\t]*#*[ \\t]*$', 1)), ''), 120),
       list_filter(list_transform(string_split(n, chr(10))[1:30], lambda x: regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')), lambda x: length(x) BETWEEN 4 AND 40)[1],
       nullif(regexp_replace(regexp_extract(source, '([^/\\\\]*)$', 1), '\\.[^.]*$', ''), ''), doc_id) AS guessed FROM (SELECT *, {_NORMAL} AS n FROM kb_docs)""",
     "version_hints": r"""SELECT doc_row, 'v' || nullif(regexp_extract(f, '(?:^|[^A-Za-z0-9])[vV]([0-9]+(?:\.[0-9]+)*)(?:[^A-Za-z0-9]|$)', 1), '') AS doc_version, list_sort(d)[1] AS effective_from, list_sort(d)[2] AS effective_to
@@ -232,13 +234,14 @@ ORACLES = {
     "doc_detail": f"""SELECT doc_id, chunk_row, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, chunk_row) AS "at", {_CITED} AS cited,
       CASE WHEN length(text) > 40 THEN left(text, 40) || '…（省略 ' || (length(text) - 40) || ' 字）' ELSE text END AS "start" FROM chunks""",
     "stats": """SELECT 'chunks' AS name, count(*) AS value FROM chunks UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM chunks UNION ALL SELECT 'visible', count(*) FROM chunks WHERE coalesce(status, '') <> 'superseded'
-      UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'labelled', count(label) FROM entities UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT * FROM mentions)""",
+      UNION ALL SELECT 'entities', count(*) FROM entities UNION ALL SELECT 'labelled', count(label) FROM entities UNION ALL SELECT 'mentions', count(*) FROM (SELECT DISTINCT * FROM mentions)
+      UNION ALL SELECT 'relations', count(*) FROM (SELECT DISTINCT entity_id, tail FROM (SELECT *, lead(entity_id) OVER (PARTITION BY chunk_id ORDER BY encode(entity_id)) AS tail FROM (SELECT DISTINCT * FROM mentions)) WHERE tail IS NOT NULL)""",
     "locate_text": """SELECT doc_id, p - 1 AS "offset", substr(text, greatest(p - 12, 1), 37) AS preview, contains(text, 'cooling tower') AS exact FROM (SELECT *, strpos(lower(text), 'cooling tower') AS p FROM documents) WHERE p > 0""",
     "same_starts": "SELECT sha1(s) AS snippet, count(*) AS n, count(DISTINCT doc_id) AS n_docs, count(*) = 1 AS is_unique, count(DISTINCT doc_id) > 1 AS crosses FROM (SELECT doc_id, left(text, 30) AS s FROM chunks WHERE text <> '') GROUP BY s",
     "anchor_check": f"""WITH {_LATEST} SELECT chunk_row, CASE WHEN l.doc_id IS NULL THEN 'no_document' WHEN coalesce(c.text, '') = '' THEN 'no_text' WHEN l.text IS NULL THEN 'no_whole' WHEN start_pos IS NULL OR end_pos IS NULL THEN 'no_position'
       WHEN end_pos > length(l.text) THEN 'out_of_range' WHEN substr(l.text, start_pos + 1, length(left(c.text, 30))) = left(c.text, 30) THEN 'ok' WHEN contains(l.text, left(c.text, 30)) THEN 'elsewhere' ELSE 'mismatch' END AS kind
       FROM chunks c LEFT JOIN latest l USING (doc_id)""",
-    "changed_docs": f"""WITH {_LATEST}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at NULLS FIRST, doc_row) AS p FROM kb_docs) WHERE p = 1 AND doc_row % 10 <> 0)
+    "changed_docs": f"""WITH {_LATEST}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY loaded_at NULLS FIRST, doc_row) AS p FROM kb_docs) WHERE p = 1)
       SELECT doc_id, CASE WHEN f.doc_id IS NULL THEN 'new' WHEN coalesce(f.text, '') = coalesce(l.text, '') THEN 'unchanged' ELSE 'changed' END AS state FROM latest l LEFT JOIN firsts f USING (doc_id)""",
     "duplicate_content": "SELECT sha1(text) AS h, count(*) AS n, min(doc_id) AS first_doc FROM documents WHERE text <> '' GROUP BY 1 HAVING count(*) > 1",
     "upsert_latest": "SELECT chunk_id, chunk_row FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY chunk_row % 2 DESC, ingested_at DESC NULLS LAST, chunk_row DESC) AS p FROM chunks) WHERE p = 1",

@@ -107,8 +107,16 @@ def attached_facts(spark: SparkSession, folder: str) -> DataFrame:
     return graph.attach_facts(_mentioning(spark, folder), _mentions(spark, folder), _facts(spark, folder))
 
 
+def _entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Entities, and each of their spellings as an entity of its own, as an extraction that does not know them would write it."""
+    given = table(spark, folder, "entities").select("id", "name", "label", "aliases")
+    spelled = given.select(F.explode("aliases").alias("name")).distinct()
+    none = lambda kind: F.lit(None).cast(kind)
+    return given.unionByName(spelled.select(F.concat(F.lit("v"), F.md5(F.col("name").cast("binary"))).alias("id"), "name", none("string").alias("label"), none("array<string>").alias("aliases")))
+
+
 def entity_dupes(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.alike_names(table(spark, folder, "entities"), graph.name_stem)
+    return graph.alike_names(_entities(spark, folder), graph.name_stem)
 
 
 def _groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,7 +142,7 @@ def vector_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
     often = _mentions(spark, folder).distinct().groupBy(F.col("entity_id").alias("id")).agg(F.count("*").alias("degree"))
-    return graph.canonical(_groups(spark, folder), often, table(spark, folder, "entities"))
+    return graph.canonical(_groups(spark, folder), often, _entities(spark, folder))
 
 
 def canonical_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,7 +150,11 @@ def canonical_entities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def relabel_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.relabel(_edges(spark, folder), _names(spark, folder))
+    """Edges, and those that the spellings of their heads would have, between canonical entities."""
+    edges = _edges(spark, folder)
+    spelled = table(spark, folder, "entities").select(F.col("id").alias("head"), F.get("aliases", F.lit(0)).alias("name")).where("name IS NOT NULL")
+    other = edges.join(spelled, "head").select(F.concat(F.lit("v"), F.md5(F.col("name").cast("binary"))).alias("head"), "relation", "tail")
+    return graph.relabel(edges.unionByName(other), _names(spark, folder))
 
 
 def orphan_entities(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,14 +212,21 @@ found AS (SELECT query_id, chunk_id, hits, p - 1 AS "rank" FROM (SELECT *, row_n
 _UP = f"WITH {_SEEDS}, {_FACTS}, {_LOOKUP}"
 _MERGED = f"""{retrieval._BASE}, {_SEEDS}, {_FACTS}, {_LOOKUP}, dense AS (SELECT query_id, chunk_id, max(score) AS score FROM d10 JOIN chunks ON chunk_row = "row" GROUP BY ALL),
 merged AS (SELECT query_id, chunk_id, coalesce(score, 0) AS score, coalesce(hits, 0) AS graph_hits, score IS NULL AS from_graph FROM dense FULL JOIN found USING (query_id, chunk_id))"""
-_ALIKE = f"""named AS (SELECT DISTINCT id, plain FROM (SELECT id, regexp_replace(lower(regexp_replace(regexp_replace(translate(w, '{_WIDE}', '{_ASCII}'), '\\s+', '', 'g'), '^["''“”‘’《〈「『【\\[(]+|["''“”‘’》〉」』】\\])]+$', '', 'g')), '[a-z]{{2}}-[0-9]+$', '') AS plain
-  FROM (SELECT id, unnest(list_append(coalesce(aliases, []), name)) AS w FROM entities)) WHERE plain <> ''),
+_ALIKE = f"""ents AS (SELECT id, name, label, aliases FROM entities UNION ALL SELECT DISTINCT 'v' || md5(a), a, NULL, NULL FROM (SELECT unnest(aliases) AS a FROM entities)),
+named AS (SELECT DISTINCT id, plain FROM (SELECT id, regexp_replace(lower(regexp_replace(regexp_replace(translate(w, '{_WIDE}', '{_ASCII}'), '\\s+', '', 'g'), '^["''“”‘’《〈「『【\\[(]+|["''“”‘’》〉」』】\\])]+$', '', 'g')), '[a-z]{{2}}-[0-9]+$', '') AS plain
+  FROM (SELECT id, unnest(list_append(coalesce(aliases, []), name)) AS w FROM ents)) WHERE plain <> ''),
 alike AS (SELECT DISTINCT a, id AS b FROM named JOIN (SELECT plain, arg_min(id, encode(id)) AS a FROM named GROUP BY plain) USING (plain) WHERE id <> a),
 links AS (SELECT a, b FROM alike UNION SELECT b, a FROM alike)"""
 _GROUPED = f"""WITH RECURSIVE {_ALIKE}, reach AS (SELECT a AS id, a AS other FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
 grouped AS (SELECT id, arg_min(other, encode(other)) AS group_id FROM reach GROUP BY id)"""
 _CANON = f"""{_GROUPED}, {_SEEDS}, canon AS (SELECT g.id, first_value(g.id) OVER (PARTITION BY group_id ORDER BY coalesce(n, 0) DESC, length(e.name) NULLS LAST, encode(g.id)) AS canonical_id
-  FROM grouped g LEFT JOIN often o ON o.entity_id = g.id LEFT JOIN entities e ON e.id = g.id)"""
+  FROM grouped g LEFT JOIN often o ON o.entity_id = g.id LEFT JOIN ents e ON e.id = g.id)"""
+_ALIKE_VECTORS = """given AS (SELECT chunk_row, dense, list_transform(dense, lambda x: CAST(x AS DOUBLE)) AS v FROM chunks
+  WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+firsts AS (SELECT dense, min(chunk_row) AS first FROM given GROUP BY dense),
+units AS MATERIALIZED (SELECT chunk_row, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) :: DOUBLE[64] AS u FROM given JOIN firsts ON first = chunk_row),
+near_vectors AS MATERIALIZED (SELECT p.chunk_row AS a, q.chunk_row AS b FROM units p JOIN units q ON p.chunk_row < q.chunk_row AND round(array_inner_product(p.u, q.u), 9) >= 0.97
+  UNION SELECT first, chunk_row FROM given JOIN firsts USING (dense) WHERE chunk_row <> first)"""
 
 ORACLES = {
     "linkable": "SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM chunks) AND entity_id IN (SELECT id FROM entities)",
@@ -228,11 +247,11 @@ ORACLES = {
       FROM (SELECT DISTINCT query_id, chunk_id, head, relation, tail, score FROM found JOIN pairs USING (chunk_id) JOIN facts f USING (query_id) WHERE entity_id IN (head, f.tail))) WHERE p <= 8""",
     "entity_dupes": f"WITH {_ALIKE} SELECT * FROM alike",
     "entity_groups": f"{_GROUPED} SELECT * FROM grouped",
-    "vector_dupes": f'{retrieval._BASE} SELECT DISTINCT least(query_id, "row") AS a, greatest(query_id, "row") AS b FROM d10 WHERE score >= 0.97',
-    "vector_groups": f"""{retrieval._BASE.replace('WITH', 'WITH RECURSIVE', 1)}, near AS (SELECT query_id AS a, "row" AS b FROM d10 WHERE score >= 0.97 UNION SELECT "row", query_id FROM d10 WHERE score >= 0.97),
+    "vector_dupes": f"WITH {_ALIKE_VECTORS} SELECT a, b FROM near_vectors",
+    "vector_groups": f"""WITH RECURSIVE {_ALIKE_VECTORS}, near AS (SELECT a, b FROM near_vectors UNION SELECT b, a FROM near_vectors),
       reach AS (SELECT a AS id, a AS other FROM near UNION SELECT r.id, l.b FROM reach r JOIN near l ON l.a = r.other) SELECT id, min(other) AS group_id FROM reach GROUP BY id""",
     "canonical_entities": f"{_CANON} SELECT * FROM canon",
-    "relabel_edges": f"""{_CANON} SELECT DISTINCT coalesce(a.canonical_id, head) AS head, relation, coalesce(b.canonical_id, tail) AS tail FROM edges LEFT JOIN canon a ON a.id = head LEFT JOIN canon b ON b.id = tail
+    "relabel_edges": f"""{_CANON} SELECT DISTINCT coalesce(a.canonical_id, head) AS head, relation, coalesce(b.canonical_id, tail) AS tail FROM (FROM edges UNION ALL SELECT 'v' || md5(aliases[1]), relation, tail FROM edges JOIN entities ON id = head WHERE len(aliases) > 0) LEFT JOIN canon a ON a.id = head LEFT JOIN canon b ON b.id = tail
       WHERE coalesce(a.canonical_id, head) <> coalesce(b.canonical_id, tail)""",
     "orphan_entities": """WITH leftover AS (SELECT DISTINCT chunk_id, entity_id FROM mentions WHERE chunk_id IN (SELECT chunk_id FROM chunks WHERE coalesce(status, '') <> 'superseded'))
       SELECT id FROM entities WHERE id NOT IN (SELECT entity_id FROM leftover)""",

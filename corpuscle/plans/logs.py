@@ -74,9 +74,14 @@ ORACLES = {
     "audit_tail": "SELECT rec_no, ts, call_id, phase, tool FROM audit_log WHERE ts IS NOT NULL ORDER BY ts DESC, rec_no DESC LIMIT 50",
     "repeated_calls": """SELECT rec_no, actor, tool, arg, nth FROM (SELECT *, row_number() OVER (PARTITION BY actor, lower(tool), trim(arg) ORDER BY ts NULLS FIRST, rec_no) AS nth FROM audit_log WHERE phase = 'intent' AND tool IS NOT NULL) WHERE nth > 1""",
     "tool_use": "SELECT tool, phase, count(*) AS n, count(DISTINCT actor) AS n_actors FROM (SELECT DISTINCT call_id, ts, phase, tool, actor, detail FROM audit_log) GROUP BY ALL",
-    "stream_audit": """WITH l AS (SELECT DISTINCT call_id, phase, tool, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS t, ok FROM audit_log WHERE call_id IS NOT NULL AND try_cast(ts AS TIMESTAMPTZ) IS NOT NULL)
-      SELECT i.call_id, i.tool, min(r.t - i.t) AS seconds, bool_or(coalesce(r.ok, false)) AS ok FROM l i JOIN l r ON r.call_id = i.call_id WHERE i.phase = 'intent' AND r.phase = 'result' AND r.t BETWEEN i.t AND i.t + 3600 GROUP BY ALL""",
-    "react_parse": """SELECT rec_no, nullif(trim(phase), '') AS thought, nullif(trim(tool), '') AS action, regexp_replace(CASE WHEN arg IS NOT NULL THEN '"' || split_part(arg, chr(10), 1) || CASE WHEN contains(arg, chr(10)) THEN '' ELSE '"' END END, '^["''“”‘’`]+|["''“”‘’`]+$', '', 'g') AS argument, CAST(NULL AS VARCHAR) AS final FROM audit_log""",
+    "stream_audit": """WITH l AS (SELECT DISTINCT call_id, phase, tool, CAST(epoch(CAST(ts AS TIMESTAMPTZ)) AS BIGINT) AS t, ok FROM audit_log WHERE call_id IS NOT NULL AND try_cast(ts AS TIMESTAMPTZ) IS NOT NULL),
+      p AS (SELECT i.call_id, i.tool, i.t, r.t - i.t AS seconds, CASE WHEN r.call_id IS NULL THEN 'open' WHEN r.phase = 'denied' THEN 'denied' WHEN coalesce(r.ok, false) THEN 'done' ELSE 'failed' END AS outcome
+        FROM (FROM l WHERE phase = 'intent') i LEFT JOIN (FROM l WHERE phase IN ('result', 'denied')) r ON r.call_id = i.call_id AND r.t BETWEEN i.t AND i.t + 3600)
+      SELECT call_id, tool, min(seconds) AS seconds, arg_min(outcome, list_position(['denied', 'failed', 'done', 'open'], outcome)) AS outcome FROM p
+      WHERE outcome <> 'open' OR t + 7200 < (SELECT max(t) FROM l) GROUP BY ALL""",
+    "react_parse": """WITH c AS (SELECT rec_no, phase, tool, trim(regexp_replace('"' || replace(replace(arg, chr(13) || chr(10), chr(10)), chr(13), chr(10)) || '"', '(?s)\\n\\n.*$', '')) AS a FROM audit_log)
+      SELECT rec_no, nullif(trim(phase), '') AS thought, CASE WHEN a IS NOT NULL THEN tool END AS action,
+        CASE WHEN tool IS NOT NULL THEN trim(regexp_replace(CASE WHEN length(a) > 1 AND ends_with(a, '"') THEN a[2:-2] ELSE a END, '\\s+', ' ', 'g')) END AS argument, CAST(NULL AS VARCHAR) AS final FROM c""",
     "triples_parse": """WITH p AS (SELECT DISTINCT chunk_id, entity_id FROM mentions), e AS (SELECT DISTINCT entity_id AS head, 'next' AS relation, tail FROM (SELECT *, lead(entity_id) OVER (PARTITION BY chunk_id ORDER BY encode(entity_id)) AS tail FROM p) WHERE tail IS NOT NULL)
       SELECT * FROM e WHERE octet_length(encode(head)) <= 128 AND octet_length(encode(tail)) <= 128""",
     "citations": """WITH names AS (SELECT name, arg_min(doc_id, k || doc_id) AS doc_id FROM (SELECT title AS name, '1' AS k, doc_id FROM kb_docs UNION ALL SELECT source, '2', doc_id FROM kb_docs

@@ -13,6 +13,7 @@ from corpuscle.functions.status import visible
 from corpuscle.functions.text import citation, clip, embed_text
 from corpuscle.functions.vectors import norm
 from corpuscle.operators import evaluate, fusion, search
+from corpuscle.session import shared_table
 from corpuscle.sources.tables import table
 
 WIDTH, PATH_K, FUSED_K, FINAL_K = 64, 50, 20, 5
@@ -50,10 +51,10 @@ def sparse_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = _chunks(spark, folder).where("text IS NOT NULL")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)
-    corpus = chunks.select(F.col("chunk_row").alias("row"), words.alias("terms"), F.length("text").alias("length"))
-    queries = chunks.where(ASKED).select(F.col("chunk_row").alias("query_id"), words.alias("terms"))
+    """The titles of the asking chunks against the texts of all."""
+    chunks = _chunks(spark, folder)
+    corpus = chunks.where("text IS NOT NULL").select(F.col("chunk_row").alias("row"), search.terms(F.col("text")).alias("terms"), F.length("text").alias("length"))
+    queries = chunks.where(ASKED).where("title IS NOT NULL").select(F.col("chunk_row").alias("query_id"), search.terms(F.col("title")).alias("terms"))
     return search.bm25_topk(queries, corpus, 10, skip_self=True)
 
 
@@ -80,7 +81,10 @@ def weighted_rrf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rrf_k2_vs_k60(spark: SparkSession, folder: str) -> DataFrame:
-    rank = lambda k, name: _hybrid(spark, folder, k).select("query_id", "row", F.col("rank").alias(name))
+    """Both fusions from one search of each path."""
+    seen = _chunks(spark, folder).where(visible(F.col("status")))
+    dense, sparse = (shared_table(path(spark, folder, PATH_K, seen)) for path in (_dense, _sparse))
+    rank = lambda k, name: fusion.fuse(dense, sparse, k, FUSED_K).select("query_id", "row", F.col("rank").alias(name))
     return rank(2, "rank_k2").join(rank(60, "rank_k60"), ["query_id", "row"], "full")
 
 
@@ -100,7 +104,7 @@ def rerank_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threshold_floor(spark: SparkSession, folder: str) -> DataFrame:
-    return fusion.threshold_floor(_rescored(spark, folder), 2.0, 2, FINAL_K)
+    return fusion.threshold_floor(_rescored(spark, folder), 0.97, 2, FINAL_K)
 
 
 def rerank_lexical(spark: SparkSession, folder: str) -> DataFrame:
@@ -172,9 +176,18 @@ def tie_bands(spark: SparkSession, folder: str) -> DataFrame:
     return fusion.tie_bands(coarse, _gold(spark, folder))
 
 
+def _visible_gold(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows that the visible collection has."""
+    seen = _chunks(spark, folder).where(visible(F.col("status"))).select(F.col("chunk_row").alias("row"))
+    return _gold(spark, folder).join(seen, "row", "left_semi")
+
+
 def score_negatives(spark: SparkSession, folder: str) -> DataFrame:
-    negatives = _chunks(spark, folder).where("chunk_row % 300 = 0").select(F.col("chunk_row").alias("query_id"))
-    return evaluate.score_negatives(_dense(spark, folder, 10), negatives, _gold(spark, folder), 0.95)
+    """Negatives are the asking chunks to whose document the visible collection has nothing else."""
+    gold = _visible_gold(spark, folder)
+    asked = _chunks(spark, folder).where(ASKED).select(F.col("chunk_row").alias("query_id"))
+    negatives = asked.join(gold.select("query_id").distinct(), "query_id", "left_anti")
+    return evaluate.score_negatives(_dense(spark, folder, 10), negatives, gold, 0.95)
 
 
 def negative_summary(spark: SparkSession, folder: str) -> DataFrame:
@@ -182,10 +195,9 @@ def negative_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def negative_strength(spark: SparkSession, folder: str) -> DataFrame:
-    first = _sparse(spark, folder, 1).select("query_id", "score", F.lit("all").alias("g"))
-    median = evaluate.upper_median(first, "g", "score").first()
-    base = F.lit(median["base"] if median else None).cast("double")
-    return first.select("query_id", "score", base.alias("base"), (F.col("score") >= base * 0.8).alias("flagged"))
+    first = shared_table(_sparse(spark, folder, 1).select("query_id", "score", F.lit("all").alias("g")))
+    both = first.join(evaluate.upper_median(first, "g", "score"), "g")
+    return both.select("query_id", "score", "base", (F.col("score") >= F.col("base") * 0.8).alias("flagged"))
 
 
 def non_empty(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,7 +238,7 @@ def _fuse(k: float = 60, dense: float = 1, sparse: float = 1) -> str:
 _BASE = f"""WITH {_UNITS}, d10 AS ({_rank('cosines', 10)}), d50 AS ({_rank('cosines', 50, 'seen')}), s50 AS ({_rank('products', 50, 'seen')}), fused AS ({_fuse()})"""
 _GOLD = """gold AS (SELECT q.chunk_row AS query_id, c.chunk_row AS "row", CASE WHEN abs(c.chunk_index - q.chunk_index) <= 1 THEN 2 ELSE 1 END AS grade
   FROM chunks q JOIN chunks c ON c.doc_id = q.doc_id AND c.chunk_row <> q.chunk_row WHERE q.chunk_row % 100 = 0)"""
-_RESCORED = """rescored AS (SELECT f.query_id, f."row", coalesce(d.score, 0) AS score FROM fused f LEFT JOIN d50 d USING (query_id, "row"))"""
+_RESCORED = """rescored AS (SELECT f.query_id, f."row", coalesce(d.score, 0) AS score FROM fused f LEFT JOIN cosines d USING (query_id, "row"))"""
 
 
 def _scores(listed: str, ks: str, name: str) -> str:
@@ -243,18 +255,22 @@ _ALL = _scores("fused", "[1, 3, 5, 10]", "scored")
 _FLOOR = """SELECT query_id, "row", score, r - 1 AS "rank" FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "row") AS r FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, "row") AS p, count(*) FILTER (score >= {t}) OVER (PARTITION BY query_id) AS c FROM rescored)
   WHERE score >= {t} OR (c < {k} AND p <= {k})) WHERE r <= 5"""
-_NEGATIVES = """negatives AS (SELECT c.chunk_row AS query_id, coalesce(max(CASE WHEN "rank" = 0 THEN score END), 0) AS top1_score, CASE WHEN coalesce(max(CASE WHEN "rank" = 0 THEN score END), 0) >= 0.95 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS leak,
+_NEGATIVES = """seen_gold AS (SELECT gold.* FROM gold JOIN chunks ON chunk_row = "row" WHERE coalesce(status, '') <> 'superseded'),
+  negatives AS (SELECT c.chunk_row AS query_id, coalesce(max(CASE WHEN "rank" = 0 THEN score END), 0) AS top1_score, CASE WHEN coalesce(max(CASE WHEN "rank" = 0 THEN score END), 0) >= 0.95 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS leak,
   round(coalesce(avg(CASE WHEN score >= 0.95 THEN 1.0 WHEN score IS NOT NULL THEN 0.0 END), 0), 9) AS above_threshold_rate,
-  CASE WHEN max(CASE WHEN "rank" = 0 AND "row" IN (SELECT "row" FROM gold) THEN 1 END) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS foreign_gold, count("row") AS n_returned
-  FROM chunks c LEFT JOIN d10 ON d10.query_id = c.chunk_row WHERE c.chunk_row % 300 = 0 GROUP BY ALL)"""
+  CASE WHEN max(CASE WHEN "rank" = 0 AND EXISTS (SELECT 1 FROM seen_gold g WHERE g."row" = d10."row" AND g.query_id <> c.chunk_row) THEN 1 END) = 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS foreign_gold, count("row") AS n_returned
+  FROM chunks c LEFT JOIN d10 ON d10.query_id = c.chunk_row WHERE c.chunk_row % 100 = 0 AND c.chunk_row NOT IN (SELECT query_id FROM seen_gold) GROUP BY ALL)"""
 
 ORACLES = {
     "dense_topk": f"{_BASE} SELECT * FROM d10",
     "sparse_topk": f"{_BASE} {_rank('products', 10)}",
-    "bm25_topk": f"""WITH words AS (SELECT chunk_row, length(text) AS len, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS term FROM chunks),
+    "bm25_topk": f"""WITH written AS (SELECT chunk_row, 'text' AS kind, text AS w, length(text) AS len FROM chunks UNION ALL SELECT chunk_row, 'title', title, 0 FROM chunks WHERE chunk_row % 100 = 0),
+      parts AS (SELECT chunk_row, kind, len, unnest(regexp_extract_all(regexp_replace(lower(w), '(\\p{{Han}}+)', ' \\1 ', 'g'), '[\\pL\\pN]+')) AS w FROM written),
+      every AS (SELECT chunk_row, kind, len, unnest(CASE WHEN regexp_matches(w, '^\\p{{Han}}{{2}}') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS term FROM parts),
+      words AS (SELECT * FROM every WHERE kind = 'text'), asked AS (SELECT DISTINCT chunk_row, term FROM every WHERE kind = 'title'),
       tf AS (SELECT chunk_row, len, term, count(*) AS tf FROM words GROUP BY ALL), n AS (SELECT count(DISTINCT chunk_row) AS n FROM words), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
       bm AS (SELECT q.chunk_row AS query_id, c.chunk_row AS "row", round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c.tf * 2.5 / (c.tf + 1.5 * (0.25 + 0.75 * c.len / 512))), 9) AS score
-        FROM tf q JOIN tf c ON q.term = c.term AND q.chunk_row <> c.chunk_row JOIN df ON df.term = q.term, n WHERE q.chunk_row % 100 = 0 GROUP BY ALL) {_rank('bm', 10)}""",
+        FROM asked q JOIN tf c ON q.term = c.term AND q.chunk_row <> c.chunk_row JOIN df ON df.term = q.term, n GROUP BY ALL) {_rank('bm', 10)}""",
     "filtered_topk": f"{_BASE} {_rank('cosines', 10, 'seen')}",
     "hybrid_rrf": f"{_BASE} SELECT * FROM fused",
     "single_path": f"""{_BASE}, every AS (SELECT *, 'dense' AS path FROM d50 UNION ALL SELECT *, 'sparse' FROM s50) SELECT query_id, "row", score, "rank", path FROM every
@@ -263,7 +279,7 @@ ORACLES = {
     "rrf_k2_vs_k60": f'{_BASE}, two AS ({_fuse(2)}) SELECT query_id, "row", t."rank" AS rank_k2, f."rank" AS rank_k60 FROM two t FULL JOIN fused f USING (query_id, "row")',
     "path_shares": f"{_BASE} SELECT path, count(*) AS n, count(DISTINCT query_id) AS n_queries FROM fused GROUP BY path",
     "rerank_threshold": f"{_BASE}, {_RESCORED} {_FLOOR.format(t=0.9, k=1)}",
-    "threshold_floor": f"{_BASE}, {_RESCORED} {_FLOOR.format(t=2.0, k=2)}",
+    "threshold_floor": f"{_BASE}, {_RESCORED} {_FLOOR.format(t=0.97, k=2)}",
     "context_budget": f"""{_BASE} SELECT * FROM (SELECT query_id, "row", "rank", size, CAST(sum(size) OVER (PARTITION BY query_id ORDER BY "rank") AS BIGINT) AS used
       FROM fused JOIN (SELECT chunk_row AS "row", coalesce(length(text), 0) AS size FROM chunks) USING ("row")) WHERE "rank" = 0 OR used <= 1500""",
     "format_hits": f"""{_BASE} SELECT query_id, string_agg(("rank" + 1) || '. ' || coalesce(nullif(title, ''), nullif(source, ''), doc_id) || ' (块 ' || chunk_index || ') ' ||

@@ -15,11 +15,13 @@ BROADCAST_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a local
-    folder is made and remembered in the session.
+    Only where ``spark.checkpoint.dir`` is unset and Spark runs on one machine (tests) a local
+    folder is made and remembered in the session; on a cluster it must be set, else this raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpuscle.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("corpuscle.shared.dir", folder)
     return folder
@@ -67,3 +69,22 @@ def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     if len(rows) > most:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+#: Rows of one key that one task joins; keys with more are dealt to several tasks.
+KEY_ROWS = 100_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", most: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where a few keys may hold most rows of ``left``.
+
+    Keys with over ``most`` rows of ``left`` are counted first (with map-side combining); the rows of such a key are dealt to several
+    parts by their hash, and the rows of ``right`` are sent to each part.  ``how`` is inner or left_semi.
+    """
+    most = most or KEY_ROWS
+    counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    parts = sized_broadcast(counts.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts")))
+    names = [c for c in left.columns if c != key]
+    dealt = left.join(parts, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*names), F.col("_parts"))).cast("int")).drop("_parts")
+    sent = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(sent, [key, "_part"], how).drop("_part")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions.ids import content_hash, path_id
 from corpuscle.functions.text import file_name, guess_title, normalize_text, version_hint
 
-# Supported suffixes, and the encodings in the order in which they are tried.
-SUFFIXES = (".md", ".markdown", ".txt", ".text")
+# Suffixes of text files, and the encodings in the order in which they are tried.
+SUFFIXES = (".md", ".markdown", ".txt", ".text", ".log")
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "big5")
 
 
@@ -37,19 +38,27 @@ def _decoded(content: Column) -> Column:
 def read_documents(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(doc_id, source, title, text, content_hash, char_count, ext, encoding, doc_version, effective_from, effective_to, error).
 
-    Files of supported suffixes under ``root``; hidden files and ``~$`` lock files are left out, and so are files of no bytes. A file that
-    holds no text has its reason in ``error`` and stays in the table, so that no file fails the others.
+    All files under ``root`` but hidden ones and ``~$`` lock files. A file that holds no text or is of no
+    supported suffix has its reason in ``error`` (and null or "" as text) and stays in the table, so that no file fails the others or gets lost.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    name = file_name(F.col("path"))
+    plain_path = F.regexp_replace("path", "^file:/+", "/")
+    # Spark plans no read for files without bytes; their names come from its own listing.
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain_path.alias("source"))
+    full = files.select(plain_path.alias("source"), "content")
+    every = full.unionByName(listed.join(full.select("source"), "source", "left_anti").withColumn("content", F.lit(b"")))
+    name = file_name(F.col("source"))
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    wanted = files.where(ext.isin(*SUFFIXES) & ~name.rlike(r"^(~\$|\.)")).select(F.regexp_replace("path", "^file:/+", "/").alias("source"), ext.alias("ext"), _decoded(F.col("content")).alias("d"))
-    plain = wanted.select("source", "ext", "d.encoding", normalize_text(F.col("d.text")).alias("text"), path_id(F.col("source")).alias("doc_id"))
+    known = ext.isin(*SUFFIXES)
+    wanted = every.where(~name.rlike(r"^(~\$|\.)")).select("source", ext.alias("ext"), F.when(known, F.col("content")).alias("content"), known.alias("known"))
+    read = wanted.withColumn("d", _decoded(F.col("content")))
+    plain = read.select("source", "ext", "known", F.when(F.col("known"), F.col("d.encoding")).alias("encoding"), F.when(F.col("known"), normalize_text(F.col("d.text"))).alias("text"), path_id(F.col("source")).alias("doc_id"))
     hint = version_hint(F.col("source"))
+    error = F.when(~F.col("known"), F.concat(F.lit("unsupported suffix "), "ext")).when(F.col("text") == "", "no text")
     return plain.select(
         "doc_id", "source", guess_title(F.col("text"), F.col("source"), F.col("doc_id")).alias("title"), "text", content_hash(F.col("text")).alias("content_hash"),
         F.length("text").alias("char_count"), "ext", "encoding", hint["doc_version"].alias("doc_version"), hint["effective_from"].alias("effective_from"),
-        hint["effective_to"].alias("effective_to"), F.when(F.col("text") == "", "no text").alias("error"),
+        hint["effective_to"].alias("effective_to"), error.alias("error"),
     )
 
 

@@ -94,7 +94,7 @@ def test_metrics_by_hand(spark):
 def test_negatives_and_differences(spark):
     listed = ranked(spark, [(5, 1, 0.97, 0), (5, 2, 0.5, 1), (6, 3, 0.2, 0)])
     negatives = spark.createDataFrame([(5,), (6,), (7,)], "query_id long")
-    gold = spark.createDataFrame([(1,)], "row long")
+    gold = spark.createDataFrame([(9, 1), (6, 3)], "query_id long, row long")  # gold of another query, and of a negative itself
     got = {r.query_id: tuple(r)[1:] for r in evaluate.score_negatives(listed, negatives, gold, 0.95).collect()}
     assert got == {5: (0.97, 1.0, 0.5, 1.0, 2), 6: (0.2, 0.0, 0.0, 0.0, 1), 7: (0.0, 0.0, 0.0, 0.0, 0)}
     before = spark.createDataFrame([(1, 5, 0.5), (2, 5, 1.0)], "query_id long, k long, rr double")
@@ -112,3 +112,36 @@ def test_rescoring_takes_the_vectors_of_sparse_candidates(spark, tmp_path):
     spark.createDataFrame(rows, "chunk_row long, dense array<float>, sparse map<string,float>, status string").write.parquet(f"{tmp_path}/chunks.parquet")
     got = {r["row"]: r.score for r in retrieval._rescored(spark, str(tmp_path)).where("query_id = 100").collect()}
     assert got[205] == 1.0 and got[206] == 0.0 and got[101] == 1.0
+
+
+def test_dense_search_in_tiles_equals_one_block(spark, monkeypatch):
+    """More queries than a block: tiles of queries and rows, no query on the driver, one read of the table."""
+    import numpy as np
+
+    rnd = np.random.RandomState(0)
+    vectors = rnd.standard_normal((300, 4)).round(1).tolist()  # many ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "row long, vector array<float>").withColumn("query_id", F.col("row"))
+    ask = lambda: {tuple(r) for r in search.dense_topk(df.select("query_id", "vector"), df.select("row", "vector"), 5, 4, skip_self=True).collect()}
+    whole = ask()
+    monkeypatch.setattr(search, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(search, "TILE_QUERIES", 70)
+    monkeypatch.setattr(search, "TILE_ROWS", 90)
+    assert ask() == whole and len(whole) == 1500
+    plan = search.dense_topk(df.select("query_id", "vector"), df.select("row", "vector"), 5, 4)._jdf.queryExecution().toString()
+    assert plan.count("FlatMapCoGroupsInArrow") >= 1
+
+
+def test_terms_of_chinese_and_other_words(spark):
+    df = spark.createDataFrame([("锅炉给水泵 GB/T-12，阀 A",), (None,), ("。",)], "t string")
+    assert [r.w for r in df.select(search.terms(F.col("t")).alias("w")).collect()] == [["锅炉", "炉给", "给水", "水泵", "gb", "t", "12", "阀", "a"], None, []]
+
+
+def test_spread_join_splits_keys_that_hold_most_rows(spark):
+    from corpuscle.session import spread_join
+
+    left = spark.range(1000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("x"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("5", 3), (None, 4)], "k string, y long")
+    got = spread_join(left, right, "k", most=50)
+    assert got.count() == 334 * 2 + 0 + (1 if 5 % 3 else 0)
+    assert {(r.k, r.x, r.y) for r in got.collect()} == {(r.k, r.x, r.y) for r in left.join(right, "k").collect()}
+    assert spread_join(left, right.select("k"), "k", "left_semi", most=50).count() == left.join(right, "k", "left_semi").count()

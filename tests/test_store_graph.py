@@ -136,10 +136,12 @@ def test_files_and_encodings(spark, tmp_path):
     (tmp_path / "a_v1.md").write_text("﻿# 标题\n正文。", "utf-8")
     (tmp_path / "sub" / "b.txt").write_bytes("规程内容若干".encode("gb18030"))
     (tmp_path / "e.txt").write_bytes(b" \n")
+    (tmp_path / "zero.log").write_bytes(b"")
     for skipped in (".hidden.md", "~$lock.md", "d.csv"):
         (tmp_path / skipped).write_text("x")
     got = {r.source.rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a_v1.md", "b.txt", "e.txt"}
+    assert set(got) == {"a_v1.md", "b.txt", "e.txt", "d.csv", "zero.log"}
+    assert (got["d.csv"].error, got["d.csv"].text) == ("unsupported suffix .csv", None) and (got["zero.log"].error, got["zero.log"].text, got["zero.log"].encoding) == ("no text", "", "utf-8")
     assert (got["a_v1.md"].title, got["a_v1.md"].doc_version, got["b.txt"].encoding, got["e.txt"].error) == ("标题", "v1", "gb18030", "no text")
     assert files.decode(b"\xff\xfe\xfa\x80\xff")[1] in ("latin-1", "big5", "gb18030")
 
@@ -159,13 +161,20 @@ def test_stream_of_documents_replaces_by_document(spark, tmp_path):
     table = str(tmp_path / "table")
     stream = lambda: spark.readStream.schema(schema).parquet(source)
     spark.createDataFrame([("a", 1, "一。" * 600, None), ("b", 2, "二。", None)], schema).write.mode("append").parquet(source)
-    ingest.ingest_stream(stream(), table, f"t{uuid.uuid4().hex}-x").awaitTermination()
-    assert ingest.current(spark, table, 0).groupBy("doc_id").count().count() == 2
-    name = f"t{uuid.uuid4().hex}"
-    ingest.ingest_stream(stream(), table, name).awaitTermination()
+    assert ingest.current(spark, table) is None
+    ingest.ingest_stream(stream(), table, 4).awaitTermination()
+    assert ingest.current(spark, table).groupBy("doc_id").count().count() == 2
+    ingest.ingest_stream(stream(), table, 4).awaitTermination()
+    assert ingest.current(spark, table).groupBy("doc_id").count().count() == 2
     spark.createDataFrame([("a", 3, "新。", None)], schema).write.mode("append").parquet(source)
-    ingest.ingest_stream(stream(), table, name).awaitTermination()
-    assert {(r.doc_id, r.text) for r in ingest.current(spark, table, 1).select("doc_id", "text").collect()} == {("a", "新。"), ("b", "二。")}
+    ingest.ingest_stream(stream(), table, 4).awaitTermination()
+    got = lambda: {(r.doc_id, r.text) for r in ingest.current(spark, table).select("doc_id", "text").collect()}
+    assert got() == {("a", "新。"), ("b", "二。")} and ingest.current(spark, table, 0).where("doc_id = 'a'").count() > 1
+    # A document that becomes blank loses its chunks, and only the part of the table that it lies in is written.
+    spark.createDataFrame([("a", 4, " \n", None)], schema).write.mode("append").parquet(source)
+    ingest.ingest_stream(stream(), table, 4).awaitTermination()
+    assert got() == {("b", "二。")}
+    assert spark.read.parquet(f"{table}/manifest/batch=2").count() == 1
 
 
 def test_stream_pairs_calls(spark, tmp_path):
@@ -173,7 +182,17 @@ def test_stream_pairs_calls(spark, tmp_path):
     log = spark.createDataFrame(rows, "call_id string, phase string, ts string, ok boolean").withColumn("tool", F.lit("t"))
     log.write.parquet(str(tmp_path / "log"))
     got = pairing.drain(pairing.paired_calls(pairing.log_stream(spark, str(tmp_path / "log"), log.schema))).collect()
-    assert [tuple(r) for r in got] == [("c1", "t", 5, True)]
+    assert {tuple(r) for r in got} == {("c1", "t", 5, "done")}
+
+
+def test_stream_gives_open_and_denied_calls(spark, tmp_path):
+    at = lambda h, s: f"2024-01-01T{h:02}:00:{s:02}+00:00"
+    rows = [("c1", "intent", at(0, 0), None), ("c2", "intent", at(0, 1), None), ("c2", "denied", at(0, 2), None), ("c3", "intent", at(1, 0), None), ("c3", "result", at(1, 9), False), ("late", "intent", at(9, 0), None)]
+    log = spark.createDataFrame(rows, "call_id string, phase string, ts string, ok boolean").withColumn("tool", F.lit("t"))
+    log.write.parquet(str(tmp_path / "log"))
+    stream = pairing.log_stream(spark, str(tmp_path / "log"), log.schema)
+    got = {(r.call_id, r.seconds, r.outcome) for r in pairing.drain(pairing.paired_calls(stream, "10 minutes", "30 minutes")).collect()}
+    assert got == {("c1", None, "open"), ("c2", 1, "denied"), ("c3", 9, "failed")}  # the last intent may still get a result
 
 
 def test_changed_docs_keeps_every_first_load(spark, tmp_path):
