@@ -95,6 +95,26 @@ def restore(chunks: DataFrame, restored: DataFrame) -> DataFrame:
     }).drop("_back")
 
 
+def set_payload(chunks: DataFrame, changes: DataFrame, fields: list[str]) -> DataFrame:
+    """Chunks with new values of some fields.
+
+    ``changes`` has doc_id, chunk_index (null: all chunks of the document) and the fields; a null value leaves the field as it is, a change of one
+    chunk comes before one of its whole document, and of several changes the greatest value counts.  Documents and chunks that are not
+    listed stay as they are.  Adds ``n_set``, the number of fields that were set.
+    """
+    greatest = [F.max(f).alias(f) for f in fields]
+    renamed = lambda df, mark: df.select(*(F.col(c).alias(f"{mark}{c}" if c in fields else c) for c in df.columns))
+    whole = renamed(changes.where("chunk_index IS NULL").groupBy("doc_id").agg(*greatest), "_d_")
+    single = renamed(changes.where("chunk_index IS NOT NULL").groupBy("doc_id", "chunk_index").agg(*greatest), "_c_")
+    both = chunks.join(whole, "doc_id", "left").join(single, ["doc_id", "chunk_index"], "left")
+    new = {f: F.coalesce(f"_c_{f}", f"_d_{f}") for f in fields}
+    count = sum((F.when(value.isNotNull(), 1).otherwise(0) for value in new.values()), F.lit(0)).cast("long")
+    out = both.withColumn("n_set", count)
+    for f, value in new.items():
+        out = out.withColumn(f, F.coalesce(value, F.col(f)))
+    return out.select(*chunks.columns, "n_set")
+
+
 def backfill_status(chunks: DataFrame) -> DataFrame:
     """Missing or empty statuses become current; others stay as written."""
     return chunks.withColumn("status", F.coalesce(F.nullif(F.col("status"), F.lit("")), F.lit("current")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuscle.functions import ids, text
+from corpuscle.functions import ids, text, vectors
 from corpuscle.functions.status import plain_status, visible
 from corpuscle.operators import graph, segment, store
 from corpuscle.sources.tables import table
@@ -172,6 +172,51 @@ def restore_marked(spark: SparkSession, folder: str) -> DataFrame:
     return store.restore(marked, marked.where("outcome = 'marked'")).select("chunk_row", "status", "previous_status")
 
 
+def set_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document gets the version of its first rule text, its first chunk a section of its own."""
+    docs = _docs(spark, folder)
+    whole = docs.select("doc_id", F.lit(None).cast("int").alias("chunk_index"), F.col("rule_no").alias("doc_version"), F.lit(None).cast("string").alias("section"))
+    first = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("doc_version"), F.lit("开头").alias("section"))
+    changed = store.set_payload(_chunks(spark, folder).select("chunk_row", "doc_id", "chunk_index", "doc_version", "section"), whole.unionByName(first), ["doc_version", "section"])
+    return changed.select("chunk_row", "doc_version", "section", "n_set")
+
+
+def hinted_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of chunks: what is stored, and what the source's name says only where nothing is."""
+    hint = text.version_hint(F.col("source"))
+    some = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), hint[c]).alias(c)
+    return _chunks(spark, folder).select("chunk_row", *(some(c) for c in ("doc_version", "effective_from", "effective_to")))
+
+
+def doc_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose source or title holds a word, the largest first, with the totals of all documents beside them."""
+    chunks = _chunks(spark, folder)
+    named = text.keyword_match("冷凝器", F.col("source"), F.col("title"))
+    each = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(named).alias("found"))
+    totals = each.agg(F.count("*").alias("total_docs"), F.sum("n_chunks").alias("total_chunks"), F.count_if("found").alias("n_found"))
+    shown = each.where("found").select("doc_id", "n_chunks").join(F.broadcast(totals))  # totals is one row
+    return shown.orderBy(F.desc("n_chunks"), "doc_id")
+
+
+def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Norm and first number of each usable vector after normalisation."""
+    own = _chunks(spark, folder).where(vectors.usable(F.col("dense"), 64)).select("chunk_row", vectors.normalised(F.col("dense")).alias("u"))
+    return own.select("chunk_row", F.round(vectors.norm(F.col("u")), 6).alias("norm"), F.round(F.get("u", F.lit(0)), 6).alias("first"))
+
+
+def chunk_anchors(spark: SparkSession, folder: str) -> DataFrame:
+    """How many characters other than blanks the chunks of each document hold at least once, and how many chunks are not what stands at their place."""
+    docs = _docs(spark, folder)
+    cut = segment.chunk_documents(docs, "doc_row", "text").join(docs.select("doc_row", F.col("text").alias("whole")), "doc_row")
+    order = Window.partitionBy("doc_row").orderBy("chunk_index")
+    placed = cut.withColumn("before", F.coalesce(F.lag("end_pos").over(order), F.lit(0)))
+    same = (F.col("text") == F.substring(F.col("whole"), F.col("start_pos").cast("int") + 1, F.length("text"))) & (F.length("text") == F.col("end_pos") - F.col("start_pos"))
+    new = F.substring("text", F.greatest(F.lit(0), F.col("before") - F.col("start_pos")).cast("int") + 1, F.length("text"))
+    each = placed.groupBy("doc_row").agg(F.sum(F.length(F.regexp_replace(new, r"[\s\p{Z}\x1c-\x1f\x85]+", ""))).alias("n_kept"), F.count_if(~same).alias("n_wrong"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return docs.select("doc_row").join(each, "doc_row", "left").select("doc_row", zero("n_kept"), zero("n_wrong"))
+
+
 def fetch_chunks(spark: SparkSession, folder: str) -> DataFrame:
     keys = _docs(spark, folder).select("doc_id", F.explode(F.array(F.lit(0), F.lit(2), F.lit(2), F.lit(9))).alias("chunk_index"))
     return store.fetch_chunks(_chunks(spark, folder), keys).select("chunk_row", "doc_id", "chunk_index")
@@ -195,7 +240,7 @@ def chunked(spark: SparkSession, folder: str) -> DataFrame:
 
 NAMES = (
     "doc_ids point_ids hash_states normalize_text sentence_counts sentence_spans doc_titles version_hints embed_cost visible_chunks status_counts list_docs docs_filter doc_detail stats "
-    "locate_text same_starts anchor_check changed_docs duplicate_content upsert_latest replace_docs delete_docs mark_superseded restore_marked fetch_chunks roundrobin_sample truncated chunked"
+    "locate_text same_starts anchor_check changed_docs duplicate_content upsert_latest replace_docs delete_docs mark_superseded restore_marked fetch_chunks roundrobin_sample truncated chunked set_payload hinted_versions doc_totals unit_vectors chunk_anchors"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}
 
@@ -250,6 +295,15 @@ ORACLES = {
     "delete_docs": "SELECT doc_id, count(*) AS n FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM kb_docs WHERE text IS NULL OR trim(text) = '') GROUP BY doc_id",
     "mark_superseded": f"""WITH {_MARKED} SELECT chunk_row, CASE WHEN outcome = 'marked' THEN 'superseded' ELSE status END AS status, CASE WHEN outcome = 'marked' THEN 'current' END AS previous_status, outcome FROM marked""",
     "restore_marked": f"""WITH {_MARKED} SELECT chunk_row, CASE WHEN outcome = 'marked' THEN 'current' ELSE status END AS status, CAST(NULL AS VARCHAR) AS previous_status FROM marked""",
+    "set_payload": """SELECT chunk_row, coalesce(v, doc_version) AS doc_version, CASE WHEN known AND chunk_index = 0 THEN '开头' ELSE section END AS section,
+      CAST(CASE WHEN v IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN known AND chunk_index = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_set FROM chunks LEFT JOIN (SELECT doc_id, max(rule_no) AS v, true AS known FROM kb_docs GROUP BY doc_id) USING (doc_id)""",
+    "hinted_versions": r"""SELECT chunk_row, coalesce(nullif(doc_version, ''), 'v' || nullif(regexp_extract(f, '(?:^|[^A-Za-z0-9])[vV]([0-9]+(?:\.[0-9]+)*)(?:[^A-Za-z0-9]|$)', 1), '')) AS doc_version, coalesce(nullif(effective_from, ''), list_sort(d)[1]) AS effective_from,
+      coalesce(nullif(effective_to, ''), list_sort(d)[2]) AS effective_to FROM (SELECT *, regexp_extract_all(f, '(?:^|[^0-9])([0-9]{4}-[0-9]{2}-[0-9]{2})', 1)[1:2] AS d FROM (SELECT *, regexp_extract(source, '([^/\\]*)$', 1) AS f FROM chunks))""",
+    "doc_totals": """WITH e AS (SELECT doc_id, count(*) AS n_chunks, bool_or(contains(lower(coalesce(source, '')), '冷凝器') OR contains(lower(coalesce(title, '')), '冷凝器')) AS found FROM chunks GROUP BY doc_id)
+      SELECT doc_id, n_chunks, (SELECT count(*) FROM e) AS total_docs, (SELECT CAST(sum(n_chunks) AS BIGINT) FROM e) AS total_chunks, (SELECT count(*) FROM e WHERE found) AS n_found FROM e WHERE found""",
+    "unit_vectors": """SELECT chunk_row, 1.0 :: DOUBLE AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS "first" FROM (SELECT chunk_row, list_transform(dense, lambda x: CAST(x AS DOUBLE)) AS v FROM chunks
+      WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0)""",
+    "chunk_anchors": r"SELECT doc_row, CAST(coalesce(length(regexp_replace(text, '[\s\x0B\pZ\x{1C}-\x{1F}\x{85}]+', '', 'g')), 0) AS BIGINT) AS n_kept, CAST(0 AS BIGINT) AS n_wrong FROM kb_docs",
     "fetch_chunks": "SELECT chunk_row, doc_id, chunk_index FROM chunks WHERE chunk_index IN (0, 2, 9) AND doc_id IN (SELECT doc_id FROM kb_docs)",
     "roundrobin_sample": """SELECT doc_id, chunk_row, "round" FROM (SELECT doc_id, chunk_row, md5(CAST(chunk_row AS VARCHAR)) AS key, row_number() OVER (PARTITION BY doc_id ORDER BY md5(CAST(chunk_row AS VARCHAR))) AS "round" FROM chunks WHERE length(trim(text)) >= 80)
       ORDER BY "round", doc_id, key LIMIT 500""",

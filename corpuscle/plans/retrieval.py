@@ -265,8 +265,8 @@ ORACLES = {
     "dense_topk": f"{_BASE} SELECT * FROM d10",
     "sparse_topk": f"{_BASE} {_rank('products', 10)}",
     "bm25_topk": f"""WITH written AS (SELECT chunk_row, 'text' AS kind, text AS w, length(text) AS len FROM chunks UNION ALL SELECT chunk_row, 'title', title, 0 FROM chunks WHERE chunk_row % 100 = 0),
-      parts AS (SELECT chunk_row, kind, len, unnest(regexp_extract_all(regexp_replace(lower(w), '(\\p{{Han}}+)', ' \\1 ', 'g'), '[\\pL\\pN]+')) AS w FROM written),
-      every AS (SELECT chunk_row, kind, len, unnest(CASE WHEN regexp_matches(w, '^\\p{{Han}}{{2}}') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS term FROM parts),
+      parts AS (SELECT chunk_row, kind, len, unnest(regexp_extract_all(regexp_replace(lower(w), '([{search.HAN}]+)', ' \\1 ', 'g'), '[\\pL\\pN]+')) AS w FROM written),
+      every AS (SELECT chunk_row, kind, len, unnest(CASE WHEN regexp_matches(w, '^[{search.HAN}]{{2}}') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END) AS term FROM parts),
       words AS (SELECT * FROM every WHERE kind = 'text'), asked AS (SELECT DISTINCT chunk_row, term FROM every WHERE kind = 'title'),
       tf AS (SELECT chunk_row, len, term, count(*) AS tf FROM words GROUP BY ALL), n AS (SELECT count(DISTINCT chunk_row) AS n FROM words), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
       bm AS (SELECT q.chunk_row AS query_id, c.chunk_row AS "row", round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * c.tf * 2.5 / (c.tf + 1.5 * (0.25 + 0.75 * c.len / 512))), 9) AS score

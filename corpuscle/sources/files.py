@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscle.functions.ids import content_hash, path_id
-from corpuscle.functions.text import file_name, guess_title, normalize_text, version_hint
+from corpuscle.functions.text import file_name, guess_title, normalize_text, relative_path, version_hint
 
 # Suffixes of text files, and the encodings in the order in which they are tried.
 SUFFIXES = (".md", ".markdown", ".txt", ".text", ".log")
@@ -71,8 +71,14 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return read.withColumn("error", missing).drop("_bad")
 
 
+def read_question_meta(spark: SparkSession, path: str) -> DataFrame:
+    """(path, meta): the ``# meta:`` records of question sets as maps of strings; a set without one has no row, a broken one a null map."""
+    lines = spark.read.text(path).select(F.input_file_name().alias("path"), F.regexp_extract("value", r"^\s*#\s*meta:\s*(.+)$", 1).alias("m")).where("m <> ''")
+    return lines.select("path", F.from_json("m", "map<string,string>").alias("meta"))
+
+
 def question_problems(items: DataFrame) -> DataFrame:
-    """(id, problem) of a question set: repeated ids, gold rows where none belong or none where some do, grades outside 1 to 3, repeated gold."""
+    """(id, problem) of a question set: repeated ids, gold rows where none belong or none where some do, grades outside 1 to 3, repeated gold, paths that are not relative."""
     gold = F.coalesce("expected", F.array().cast("array<struct<file: string, chunk_index: int, grade: int, snippet: string>>"))
     keys = F.transform(gold, lambda g: F.struct(g["file"], g["chunk_index"]))
     grade = lambda g: F.coalesce(g["grade"], F.lit(1))
@@ -81,6 +87,7 @@ def question_problems(items: DataFrame) -> DataFrame:
         F.when(kept & negative & (F.size(gold) > 0), "gold on a negative"), F.when(kept & ~negative & (F.size(gold) == 0), "no gold"),
         F.when(F.exists(gold, lambda g: (grade(g) < 1) | (grade(g) > 3)), "grade out of range"), F.when(F.size(F.array_distinct(keys)) < F.size(keys), "repeated gold"),
         F.when(F.exists(gold, lambda g: F.coalesce(g["chunk_index"] < 0, F.lit(True))), "bad chunk index"),
+        F.when(F.exists(gold, lambda g: relative_path(g["file"])["error"].isNotNull()), "bad path"),
     ))
     repeated = items.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("repeated id").alias("problem"))
     return items.select("id", F.explode(checks).alias("problem")).unionByName(repeated)

@@ -152,7 +152,10 @@ def test_question_sets(spark, tmp_path):
     items = files.read_questions(spark, str(tmp_path / "qa.jsonl"))
     assert [r.error for r in items.orderBy("value").collect()].count("not JSON") == 1
     problems = {tuple(r) for r in files.question_problems(items.where("error IS NULL")).collect()}
-    assert ("q1", "repeated id") in problems and ("q1", "grade out of range") in problems
+    assert ("q1", "repeated id") in problems and ("q1", "grade out of range") in problems and ("q1", "bad path") not in problems
+    (tmp_path / "meta.jsonl").write_text('# meta: {"schema_version": 2, "corpus": "x"}\n# other\n' + lines[2].replace('"file": "a"', '"file": "/a"'))
+    assert [r.meta for r in files.read_question_meta(spark, str(tmp_path / "meta.jsonl")).collect()] == [{"schema_version": "2", "corpus": "x"}]
+    assert ("q1", "bad path") in {tuple(r) for r in files.question_problems(files.read_questions(spark, str(tmp_path / "meta.jsonl"))).collect()}
 
 
 def test_stream_of_documents_replaces_by_document(spark, tmp_path):
@@ -200,3 +203,12 @@ def test_changed_docs_keeps_every_first_load(spark, tmp_path):
     spark.createDataFrame(rows, "doc_row long, doc_id string, text string, loaded_at long").write.parquet(f"{tmp_path}/kb_docs.parquet")
     got = {r.doc_id: r.state for r in collection.changed_docs(spark, str(tmp_path)).collect()}
     assert got == {"a": "changed", "b": "unchanged", "c": "unchanged", "d": "changed"}
+
+
+def test_set_payload_merges(spark):
+    from corpuscle.operators import store
+
+    chunks = spark.createDataFrame([("a", 0, "s", "t"), ("a", 1, None, "t"), ("b", 0, "s", None)], "doc_id string, chunk_index int, section string, title string")
+    changes = spark.createDataFrame([("a", None, "new", None), ("a", 1, None, "own"), ("gone", 0, "x", "x"), ("a", None, "new", None)], "doc_id string, chunk_index int, section string, title string")
+    got = {(r.doc_id, r.chunk_index): (r.section, r.title, r.n_set) for r in store.set_payload(chunks, changes, ["section", "title"]).collect()}
+    assert got == {("a", 0): ("new", "t", 1), ("a", 1): ("new", "own", 2), ("b", 0): ("s", None, 0)}
