@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Statuses of an item, known types, the length of a snippet, the least length of a question.
@@ -86,8 +86,7 @@ def same_aggregates(one: DataFrame, other: DataFrame, metrics: list[str]) -> Dat
 
 def saturation(means: DataFrame) -> DataFrame:
     """(k, hit, note) of macro means: ``too easy`` or ``near zero`` at the least cut, ``saturated`` at a deeper one, else ``telling``."""
-    head = means.agg(F.min("k").alias("head"))
-    marked = means.join(F.broadcast(head), F.col("k") >= F.col("head"))
+    marked = means.withColumn("head", F.min("k").over(Window.partitionBy()))  # one row for each cut
     note = (
         F.when((F.col("k") == F.col("head")) & (F.col("hit") >= SATURATED), "too easy").when((F.col("k") == F.col("head")) & (F.col("hit") <= NEAR_ZERO), "near zero")
         .when(F.col("hit") >= SATURATED, "saturated").otherwise("telling")

@@ -193,9 +193,9 @@ def doc_totals(spark: SparkSession, folder: str) -> DataFrame:
     chunks = _chunks(spark, folder)
     named = text.keyword_match("冷凝器", F.col("source"), F.col("title"))
     each = chunks.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max(named).alias("found"))
-    totals = each.agg(F.count("*").alias("total_docs"), F.sum("n_chunks").alias("total_chunks"), F.count_if("found").alias("n_found"))
-    shown = each.where("found").select("doc_id", "n_chunks").join(F.broadcast(totals))  # totals is one row
-    return shown.orderBy(F.desc("n_chunks"), "doc_id")
+    totals = each.agg(F.count("*").alias("total_docs"), F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("total_chunks"), F.count_if("found").alias("n_found")).first()
+    beside = [F.lit(value).cast("long").alias(name) for name, value in totals.asDict().items()]
+    return each.where("found").select("doc_id", "n_chunks", *beside).orderBy(F.desc("n_chunks"), "doc_id")
 
 
 def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
