@@ -176,22 +176,52 @@ def token_counts(df: DataFrame, doc: str, text: str, tokenizers: str = TOKENIZER
     return back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_count, "doc long, n_tokens long").withColumnRenamed("doc", doc)
 
 
-def token_bytes(spark, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, bytes) of a vocabulary; its size is fixed (some 50,000 rows)."""
-    rows = [(rank, token) for token, rank in _ranks(f"{tokenizers}/{vocabulary}").items()]
-    return spark.createDataFrame(rows, "id int, bytes binary")
+@lru_cache(maxsize=2)
+def _token_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The token-byte table of a vocabulary: where each id's bytes start, how many it has (-1: no such id), and all bytes; its size is fixed (some 50,000 tokens)."""
+    ranks = _ranks(path)
+    size = np.full(max(ranks.values()) + 1, -1, np.int64)
+    for token, rank in ranks.items():
+        size[rank] = len(token)
+    known = np.maximum(size, 0)
+    return np.cumsum(known) - known, size, np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+
+def _decode_part(path: str):
+    """Task function over (doc, ids): joins the ids with the token-byte table where they lie, and puts each row's bytes together."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, sizes, data = _token_table(path)
+        for batch in batches:
+            lists = batch.column(1)
+            ids = lists.flatten().drop_null().to_numpy().astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum([0 if x is None else x - n for x, n in zip(lists.value_lengths().to_pylist(), _nulls(lists), strict=True)])]).astype(np.int64)
+            wrong = ids[(ids < 0) | (ids >= len(sizes))]
+            wrong = wrong if len(wrong) else ids[sizes[ids] < 0]
+            if len(wrong):
+                raise ValueError(f"no token has the id {wrong[0]}")
+            size = sizes[ids]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            whole = data[np.repeat(starts[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+            at = ends[bounds].tolist()
+            texts = [whole[start:end].decode("utf-8", "replace") for start, end in zip(at, at[1:], strict=False)]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc", "text"])
+
+    return decode
+
+
+def _nulls(lists: pa.Array) -> list[int]:
+    """How many null ids each list has."""
+    if not lists.flatten().null_count:
+        return [0] * len(lists)
+    return [0 if x is None else x.count(None) for x in lists.to_pylist()]
 
 
 def decode_corpus(encoded: DataFrame, doc: str, ids: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc, text): the texts that token ids stand for, by a join with the token-byte table.
+    """(doc, text): the texts that token ids stand for, by a join with the token-byte table, which every task has (its size is fixed), so nothing is shuffled.
 
-    A null or empty list gives ``""``; an id that the vocabulary does not have raises an error.  Every row
-    is kept, also with a null or repeated doc: rows are numbered as they were written.
+    A null or empty list gives ``""``, null ids in a list are left out; an id that the vocabulary does not have raises an error.  Every row
+    is kept, also with a null or repeated doc.
     """
-    table = F.broadcast(token_bytes(encoded.sparkSession, tokenizers, vocabulary))
-    written = shared_table(encoded.select(F.col(doc).alias("doc"), F.col(ids).alias("ids"))).withColumn("at", F.monotonically_increasing_id())
-    marks = written.select("at", "doc", F.posexplode_outer("ids").alias("pos", "id"))
-    known = F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string")))).otherwise(F.hex("bytes"))
-    parts = marks.join(table, "id", "left").groupBy("at", "doc").agg(F.array_sort(F.collect_list(F.struct("pos", known.alias("b")))).alias("parts"))
-    joined = F.concat_ws("", F.transform("parts", lambda p: p["b"]))
-    return parts.select(F.col("doc").alias(doc), F.decode(F.unhex(joined), "UTF-8").alias("text"))
+    rows = encoded.select(F.col(doc).cast("long").alias("doc"), F.col(ids).cast("array<long>").alias("ids"))
+    return rows.mapInArrow(_decode_part(f"{tokenizers}/{vocabulary}"), "doc long, text string").withColumnRenamed("doc", doc)

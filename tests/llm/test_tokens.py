@@ -42,7 +42,7 @@ def test_decoding_keeps_repeated_rows_and_refuses_unknown_ids(spark):
     import pytest
 
     schema = "doc_id long, ids array<int>"
-    rows = [(1, [0, 1]), (1, [0, 1]), (1, None), (None, []), (2, [5])]
+    rows = [(1, [0, 1]), (1, [0, 1]), (1, None), (None, []), (2, [5, None])]
     decoded = tokens.decode_corpus(spark.createDataFrame(rows, schema), "doc_id", "ids").collect()
     assert sorted((r.doc_id or 0, len(r.text)) for r in decoded) == [(0, 0), (1, 0), (1, 2), (1, 2), (2, 1)]
     with pytest.raises(Exception, match="no token has the id 99999999"):
