@@ -3,8 +3,8 @@
 Documents are split into pre-tokens in place.  Each *block* (some megabytes of text in one
 task) numbers its distinct pre-tokens and keeps, for every document, the positions as a
 list of those numbers; only (block, number, word) rows travel.  All blocks' words meet in
-one shuffle, each distinct word of the corpus is encoded once, the ids are joined back
-and each block reassembles its documents by position.  A word that stands millions of
+one shuffle, sorted, so each distinct word of the corpus is encoded once and every row gets its ids
+on the spot; they go back to their blocks, which reassemble their documents by position.  A word that stands millions of
 times in the corpus thus crosses the network once a block, not once an occurrence.
 """
 
@@ -93,16 +93,26 @@ def split_words(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, ids) of distinct words, each encoded once; ids are packed as 16 or 32 bits each."""
+    """(at, code, ids) of the words (block, code, word) of all blocks; ids are packed as 16 or 32 bits each.
+
+    Equal words of all blocks meet, one after another, in one task, where a word is encoded once for all of its rows,
+    so its ids need not be joined back.  A word has at most one row for each block, and tasks stream over their rows.
+    """
     width = id_width(vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary)
+        last, ids = None, b""
         for batch in batches:
-            found = [np.asarray(encoding.encode_ordinary(word), width).tobytes() for word in batch.column(0).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], names=["word", "ids"])
+            if not batch.num_rows:
+                continue
+            own = batch.column(2).dictionary_encode()
+            distinct = own.dictionary.to_pylist()
+            found = [ids if word == last else np.asarray(encoding.encode_ordinary(word), width).tobytes() for word in distinct]
+            last, ids = distinct[-1], found[-1]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found, pa.binary()).take(own.indices)], names=["at", "code", "ids"])
 
-    return words.select("word").distinct().mapInArrow(encode, "word string, ids binary")
+    return words.select("block", "code", "word").repartition("word").sortWithinPartitions("word").mapInArrow(encode, "at long, code int, ids binary")
 
 
 def id_width(vocabulary: str) -> str:
@@ -159,8 +169,7 @@ def encode_corpus(df: DataFrame, doc: str, text: str, tokenizers: str = TOKENIZE
     """
     split = split_words(df, doc, text)
     words = split.select("block", "code", "word").where("word IS NOT NULL")
-    encoded = encode_words(words, f"{tokenizers}/{vocabulary}")
-    back = words.join(encoded, "word").select(F.col("block").alias("at"), "code", "ids")
+    back = encode_words(words, f"{tokenizers}/{vocabulary}")
     docs = split.select("block", "doc", "codes").where("codes IS NOT NULL")
     found = back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_reassemble(id_width(f"{tokenizers}/{vocabulary}")), "doc long, ids array<int>")
     return found.withColumnRenamed("doc", doc)
@@ -170,8 +179,9 @@ def token_counts(df: DataFrame, doc: str, text: str, tokenizers: str = TOKENIZER
     """(doc, n_tokens) by the same way; only the number of a word's ids travels back."""
     split = split_words(df, doc, text)
     words = split.select("block", "code", "word").where("word IS NOT NULL")
-    encoded = encode_words(words, f"{tokenizers}/{vocabulary}").select("word", F.expr(f"length(ids) div {np.dtype(id_width(f'{tokenizers}/{vocabulary}')).itemsize}").alias("n"))
-    back = words.join(encoded, "word").select(F.col("block").alias("at"), "code", "n")
+    path = f"{tokenizers}/{vocabulary}"
+    size = np.dtype(id_width(path)).itemsize
+    back = encode_words(words, path).select("at", "code", F.expr(f"length(ids) div {size}").alias("n"))
     docs = split.select("block", "doc", "codes").where("codes IS NOT NULL")
     return back.groupBy("at").cogroup(docs.groupBy("block")).applyInArrow(_count, "doc long, n_tokens long").withColumnRenamed("doc", doc)
 
