@@ -45,7 +45,7 @@ def test_leaves_stay_bounded_however_small_the_sample(spark):
     unit = sv._unit(vectors.astype(float)).astype(np.float32)
     forest = sv.fit_forest(unit[:128], 6400, spec)
     assert forest.depth == 3
-    leaves = spark.createDataFrame([(int(r), v.tolist(), int(x)) for r, v, own in zip(rows, vectors, forest.leaves(unit), strict=True) for x in own], "row long, vector array<float>, leaf long")
+    leaves = spark.createDataFrame([(int(r), v.tolist(), int(x)) for r, v, own in zip(rows, vectors, forest.leaves(unit), strict=True) for x in own], "row long, vector array<float>, leaf long").withColumn("spare", F.lit(False))
     split, shift = sv.split_overfull(leaves, forest, 16)
     sizes = [r["count"] for r in split.groupBy("leaf").count().collect()]
     assert max(sizes) <= sv.OVERFULL * spec.leaf_rows and sum(sizes) == 6 * 6400 and shift > forest.depth
@@ -86,3 +86,38 @@ def test_many_ties_go_to_the_smaller_rows():
     assert (cos == 1).all()
     for row, near in zip(rows, ids, strict=True):
         assert near.tolist() == [r for r in range(1, 8) if r != row][:5]
+
+
+def parallels(n, others, seed=5, width=16):
+    """Vectors near one direction: ``n`` of them parallel, all of another length, the others about it or elsewhere."""
+    rnd = np.random.RandomState(seed)
+    ray = rnd.standard_normal(width)
+    vectors = np.concatenate([rnd.uniform(0.1, 9, n)[:, None] * ray, ray + 0.3 * rnd.standard_normal((others, width))])
+    return vectors.astype(np.float32), rnd.permutation(len(vectors)) * 3 + 1
+
+
+def test_crowded_direction_is_dealt_to_parts(spark, monkeypatch):
+    """Most rows parallel: they answer each other exactly, and no part holds more than a bound."""
+    vectors, rows = parallels(1200, 200)
+    spec = sv.ForestSpec(trees=8, leaf_rows=256, bucket_rows=16)
+    seen = []
+    deal = sv.deal_spare
+    monkeypatch.setattr(sv, "deal_spare", lambda leaves, n: seen.append(deal(leaves, n)) or seen[-1])
+    got = found(frame(spark, rows, vectors), spec=spec)
+    assert len(seen) == 1
+    parts = [r["count"] for r in seen[0].groupBy("leaf", "part").count().collect()]
+    assert len(parts) > 4 and max(parts) <= 4 * spec.leaf_rows
+    truth = brute(rows, vectors, 5)
+    assert len(got & truth) >= 0.95 * len(truth)
+    own = set(rows[:1200].tolist())
+    assert {p for p in got if p[0] in own} == {p for p in truth if p[0] in own}
+
+
+def test_parallel_rows_of_a_leaf_answer_by_their_first(spark):
+    vectors, rows = parallels(600, 100)
+    unit = sv._unit(vectors.astype(float))
+    spec = sv.ForestSpec(bucket_rows=16)
+    ids, _ = sv.nearest(rows, unit, np.random.RandomState(1).standard_normal((16, spec.dims)).astype(np.float32), 5, spec)
+    truth = brute(rows, vectors, 5)
+    got = {(int(r), int(x)) for r, near in zip(rows, ids, strict=True) for x in near}
+    assert len(got & truth) >= 0.98 * len(truth)
